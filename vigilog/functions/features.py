@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.hashing import stable_hash
 from vigilog.functions.net import is_rfc1918, port_bucket
-from vigilog.functions.text import lookup
+from vigilog.functions.text import lookup, whole_number
 from vigilog.values import (
     AUTH_PROGRAMS, COMMON_PORTS, FACILITY_CODE, FEATURE_NAMES, LOG_SOURCE_CODE, NETWORK_PROGRAMS,
     RE_FEATURE_FAIL, RE_FEATURE_IP, RE_FEATURE_SUCCESS, RE_PATH, SEVERITY_CODE, WEB_SERVERS,
@@ -33,7 +33,7 @@ def feature_columns() -> dict[str, Column]:
     c = F.col
     hour, minute, weekday = local_clock(c("timestamp"), c("tz_offset_min"))
     has_ip = F.coalesce(c("source_ip") != "", F.lit(False))
-    octet = F.split("source_ip", r"\.")[0].try_cast("int")
+    octet = whole_number(F.substring_index("source_ip", ".", 1))
     port = F.coalesce("dest_port", F.lit(0))
     has_port = port != 0
     program = F.lower(F.coalesce("program", F.lit("")))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigilog.functions.text import any_of
+from vigilog.functions.text import any_of, whole_number
 from vigilog.values import PORT_BUCKETS
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -37,9 +37,9 @@ def is_ip(ip: Column) -> Column:
 def ip_number(ip: Column) -> Column:
     """IPv4 text to its 32-bit number, null for anything else."""
     p = F.split(ip, r"\.")
-    total = F.get(p, F.lit(0)).try_cast("bigint")
+    total = whole_number(F.get(p, F.lit(0)), "bigint")
     for i in (1, 2, 3):
-        total = total * 256 + F.get(p, F.lit(i)).try_cast("bigint")
+        total = total * 256 + whole_number(F.get(p, F.lit(i)), "bigint")
     return F.when(is_ipv4(ip), total)
 
 
@@ -56,7 +56,7 @@ def is_private(ip: Column) -> Column:
 def is_rfc1918(ip: Column) -> Column:
     """Four whole numbers that begin as 10, 172.16-31 or 192.168 do."""
     p = F.split(ip, r"\.")
-    n = [F.get(p, F.lit(i)).try_cast("int") for i in range(4)]
+    n = [whole_number(F.get(p, F.lit(i))) for i in range(4)]
     shape = (F.size(p) == 4) & n[0].isNotNull() & n[1].isNotNull() & n[2].isNotNull() & \
         n[3].isNotNull()
     return F.coalesce(

@@ -9,8 +9,18 @@ GROUP_MARK = "\ue0f1\ue0f2"  # two private-use characters between captured group
 
 
 def strip(column: Column) -> Column:
-    """Cut Unicode whitespace off both ends."""
-    return F.trim(column, F.lit(BLANKS))
+    """Cut Unicode whitespace off both ends; text without any there is passed on as it is."""
+    ends = F.contains(F.lit(BLANKS), F.substring(column, 1, 1)) | F.contains(
+        F.lit(BLANKS), F.substring(column, -1, 1))
+    return F.when(ends, F.trim(column, F.lit(BLANKS))).otherwise(column)
+
+
+def whole_number(column: Column, kind: str = "int") -> Column:
+    """Digits to a number, other text to null.
+
+    Looked at before it is cast: a cast that fails costs an exception per row.
+    """
+    return F.when((column != "") & column.rlike(r"^\s*[+-]?\d{1,19}\s*$"), column.try_cast(kind))
 
 
 def non_empty(column: Column) -> Column:

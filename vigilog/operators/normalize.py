@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.functions.text import (
-    all_matches, entry, first_match, hold, last_wins_map, non_empty, strip,
+    all_matches, entry, first_match, hold, last_wins_map, non_empty, strip, whole_number,
 )
 from vigilog.values import (
     AUTH_PROGRAMS, DEST_IP_KEYS, DEST_PORT_KEYS, NETWORK_PROGRAMS, RE_AUTH_FAILURE,
@@ -24,7 +24,7 @@ def extract_ips(message: Column) -> Column:
 
 
 def extract_port(message: Column) -> Column:
-    return F.regexp_extract(message, RE_PORT, 1).try_cast("int")
+    return whole_number(F.regexp_extract(message, RE_PORT, 1))
 
 
 def user_name(found: Column) -> Column:
@@ -37,7 +37,7 @@ def extract_user(message: Column) -> Column:
 
 
 def extract_pid(message: Column) -> Column:
-    return F.regexp_extract(message, RE_PID, 1).try_cast("bigint")
+    return whole_number(F.regexp_extract(message, RE_PID, 1), "bigint")
 
 
 def extract_paths(message: Column) -> Column:
@@ -49,7 +49,7 @@ def extract_http_method(message: Column) -> Column:
 
 
 def extract_http_status(message: Column) -> Column:
-    return F.regexp_extract(message, RE_HTTP_STATUS, 1).try_cast("int")
+    return whole_number(F.regexp_extract(message, RE_HTTP_STATUS, 1))
 
 
 def event_tags(program: Column, failed: Column, succeeded: Column) -> Column:
@@ -83,7 +83,7 @@ def _alias_int(keys: list[str]) -> Column:
             F.try_variant_get("_json", f"$['{k}']", "double").try_cast("int"),
         ) for k in keys
     ])
-    return F.coalesce(strip(text).try_cast("int"), F.when(text.isNotNull(), numbers))
+    return F.coalesce(whole_number(text), F.when(text.isNotNull(), numbers))
 
 
 def host_fallback(host: Column, source_host: Column) -> Column:
@@ -119,16 +119,17 @@ def normalize(parsed: DataFrame) -> DataFrame:
         "facility", "severity", "program", "message", "raw", "fields",
         host_fallback(F.col("host"), sender).alias("host"),
         F.col("pid").alias("_pid"),
-        strip(_alias_text(SOURCE_IP_KEYS)).alias("_src"),
-        strip(_alias_text(DEST_IP_KEYS)).alias("_dst"),
+        _alias_text(SOURCE_IP_KEYS).alias("_src"),
+        _alias_text(DEST_IP_KEYS).alias("_dst"),
         _alias_int(SOURCE_PORT_KEYS).alias("source_port"),
         _alias_int(DEST_PORT_KEYS).alias("_dport"),
         extract_ips(message).alias("_ips"),
         F.array_join(extract_paths(message), " ").alias("_paths"),
-        extract_port(message).alias("_port_said"), extract_pid(message).alias("_pid_said"),
+        F.regexp_extract(message, RE_PORT, 1).alias("_port_said"),
+        F.regexp_extract(message, RE_PID, 1).alias("_pid_said"),
         F.regexp_extract(message, RE_USER, 1).alias("_user"),
         F.regexp_extract(message, RE_HTTP_METHOD, 1).alias("_method"),
-        extract_http_status(message).alias("_status"),
+        F.regexp_extract(message, RE_HTTP_STATUS, 1).alias("_status"),
         message.rlike(RE_AUTH_FAILURE).alias("_failed"),
         message.rlike(RE_AUTH_SUCCESS).alias("_succeeded"),
         F.lower("program").alias("_program"),
@@ -136,9 +137,13 @@ def normalize(parsed: DataFrame) -> DataFrame:
     passed = [*extra, "event_id", "timestamp", "tz_offset_min", "ingested_at", "host",
               "log_source", "facility", "severity", "program", "message", "raw"]
     staged = staged.select(
-        *passed, "fields", "source_port", "_pid", "_dport", "_port_said", "_pid_said", "_program",
-        "_failed", "_succeeded", "_paths", "_method", "_status",
-        non_empty(F.col("_src")).alias("_src"), non_empty(F.col("_dst")).alias("_dst"),
+        *passed, "fields", "source_port", "_pid", "_dport", "_program", "_failed",
+        "_succeeded", "_paths", "_method",
+        whole_number(F.col("_port_said")).alias("_port_said"),
+        whole_number(F.col("_pid_said"), "bigint").alias("_pid_said"),
+        whole_number(F.col("_status")).alias("_status"),
+        non_empty(strip(F.col("_src"))).alias("_src"),
+        non_empty(strip(F.col("_dst"))).alias("_dst"),
         F.try_element_at("_ips", F.lit(1)).alias("_first_ip"),
         F.try_element_at("_ips", F.lit(2)).alias("_second_ip"),
         user_name(F.col("_user")).alias("_user"),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.functions.text import (
-    all_matches, captured, entry, hold, last_wins_map, lookup, pairs, strip,
+    all_matches, captured, entry, hold, last_wins_map, lookup, pairs, strip, whole_number,
 )
 from vigilog.values import (
     FACILITIES, JSON_HOST_KEYS, JSON_MESSAGE_KEYS, JSON_PROGRAM_KEYS, JSON_TIME_KEYS, MONTHS,
@@ -16,7 +16,7 @@ NO_FIELDS = "array<struct<key:string,value:string>>"
 
 def decode_pri(pri: Column) -> tuple[Column, Column]:
     """Syslog PRI to (facility, severity); unknown codes are null."""
-    number = pri.try_cast("int")
+    number = whole_number(pri)
     return (
         lookup(FACILITIES, F.shiftright(number, 3)),
         lookup(SEVERITIES, number.bitwiseAND(F.lit(7))),
@@ -42,7 +42,8 @@ def iso_time(text: Column) -> Column:
 def iso_offset_minutes(text: Column) -> Column:
     """Offset of ISO time text in minutes, 0 where none is written."""
     sign = F.substring(text, -6, 1)
-    minutes = F.substring(text, -5, 2).try_cast("int") * 60 + F.substring(text, -2, 2).try_cast("int")
+    minutes = whole_number(F.substring(text, -5, 2)) * 60 + whole_number(
+        F.substring(text, -2, 2))
     return F.when(
         (F.length(text) > 16) & sign.isin("+", "-"),
         F.coalesce(F.when(sign == "-", -minutes).otherwise(minutes), F.lit(0)),
@@ -119,7 +120,7 @@ def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = Non
     old_time = F.try_make_timestamp(
         year,
         F.coalesce(lookup(MONTHS, when_old[0]), F.lit(1)),
-        when_old[1].try_cast("int"), when_old[2].try_cast("int"), when_old[3].try_cast("int"),
+        whole_number(when_old[1]), whole_number(when_old[2]), whole_number(when_old[3]),
         when_old[4].try_cast("decimal(8,6)"), F.lit("UTC"),
     )
 
@@ -168,8 +169,8 @@ def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = Non
         F.filter(
             F.array(
                 entry("source_ip", found("src")), entry("dest_ip", found("dst")),
-                entry("source_port", found("spt").try_cast("int")),
-                entry("dest_port", found("dpt").try_cast("int")),
+                entry("source_port", whole_number(found("spt"))),
+                entry("dest_port", whole_number(found("dpt"))),
             ),
             lambda e: e["value"].isNotNull(),
         ),
@@ -199,7 +200,7 @@ def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = Non
         ).alias("host"),
         F.when(is_new, dash(part(4))).when(is_old, part(3)).when(F.col("_cef"), part(2))
         .when(is_json, _json_first(JSON_PROGRAM_KEYS)).alias("program"),
-        F.when(is_new, part(5).try_cast("bigint")).when(is_old, part(4).try_cast("bigint"))
+        F.when(is_new, whole_number(part(5), "bigint")).when(is_old, whole_number(part(4), "bigint"))
         .when(is_json, F.try_variant_get("_json", "$.pid", "bigint")).alias("pid"),
         "facility", "severity",
         F.coalesce(

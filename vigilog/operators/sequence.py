@@ -12,15 +12,19 @@ from vigilog.sources.catalog import CHAINS
 from vigilog.values import DEDUP_SECONDS, WINDOW_CAP
 
 
+def _holding(word: str):
+    return lambda text: F.contains(F.lower(text), F.lit(word))
+
+
 def step_matches(matchers: list[str]) -> Column:
     """Any matcher inside a fired title, a tag or the message, or equal to the program."""
     tests = []
-    for matcher in dict.fromkeys(m.lower() for m in matchers):
-        inside = lambda text, m=matcher: F.contains(F.lower(text), F.lit(m))
+    for word in dict.fromkeys(m.lower() for m in matchers):
+        inside = _holding(word)
         tests += [
             F.exists("sigma_matches", inside), F.exists("tags", inside),
             F.coalesce(inside(F.col("message")), F.lit(False)),
-            F.coalesce(F.lower("program") == matcher, F.lit(False)),
+            F.coalesce(F.lower("program") == word, F.lit(False)),
         ]
     return any_of(tests)
 

@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
+    # the JVM does not compile larger methods: below it stages run as several small ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # event times are instants; hours of day are derived from the line's own offset
     "spark.sql.session.timeZone": "UTC",
     # a JSON line may repeat a key: the last value counts

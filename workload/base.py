@@ -310,10 +310,10 @@ fires AS (SELECT chain_id, source_key, us, event_id, rows_[1].us AS first_us, ro
 # greedy evidence: the first event of a step's letter after the one taken before
 STEPS_SQL = """taken AS (
   SELECT f.chain_id, f.source_key, f.us, f.event_id, f.first_us, f.rows_, c.letters, c.step_names, 0 AS n,
-    0::BIGINT AS at, NULL::VARCHAR AS step_event FROM fires f JOIN chains c USING (chain_id)
+    0::BIGINT AS pos, NULL::VARCHAR AS step_event FROM fires f JOIN chains c USING (chain_id)
   UNION ALL
   SELECT chain_id, source_key, us, event_id, first_us, rows_, letters, step_names, n + 1, nxt, rows_[nxt].id
-  FROM (SELECT *, at + list_position(list_transform(rows_[at + 1:], lambda r: r.letter), letters[n + 1]) AS nxt
+  FROM (SELECT *, pos + list_position(list_transform(rows_[pos + 1:], lambda r: r.letter), letters[n + 1]) AS nxt
     FROM taken WHERE n < length(letters)))"""
 
 SIGNALS_SQL = STEPS_SQL + """,
@@ -321,13 +321,13 @@ last_step AS (SELECT t.chain_id, t.source_key, t.us, t.event_id AS trigger_id, t
   FROM taken t WHERE n = length(letters)),
 signals AS (
   SELECT 'sigma' AS alert_type, h.title, level AS severity, source_key, event_id, message[1:256] AS event_message,
-    us, h.rule_id AS sigma_rule_id, '' AS chain_id, 0.0 AS duration_seconds, '' AS mitre_tactic,
+    us, h.rule_id AS sigma_rule_id, '' AS chain_id, CAST(0 AS DOUBLE) AS duration_seconds, '' AS mitre_tactic,
     list_aggregate(list_transform(list_filter(string_split(tags, ','), lambda t: t LIKE 'attack.t%'),
       lambda t: upper(replace(t, 'attack.', ''))), 'string_agg', ',') AS techniques,
     sha256('sigma:' || source_key || ':' || h.title)[1:16] AS fingerprint, 1 AS kind FROM hits h
   UNION ALL
   SELECT 'correlation', c.title, c.severity, l.source_key, l.step_event, k.message[1:256], l.us, '', l.chain_id,
-    (l.us - l.first_us) / 1000000.0, c.tactic, c.techniques,
+    CAST(l.us - l.first_us AS DOUBLE) / 1000000, c.tactic, c.techniques,
     sha256('correlation:' || l.source_key || ':' || l.chain_id)[1:16], 2
   FROM last_step l JOIN chains c USING (chain_id) JOIN keyed k ON k.event_id = l.step_event)"""
 
