@@ -57,7 +57,7 @@ def fold_states(actions: DataFrame, rows_per_piece: int = ROWS_PER_PIECE) -> Dat
     are folded in pieces for every state they may begin in, and the pieces are then chained.
     """
     changes = actions.where("action = 'state'").select("incident_id", "us", "seq", "value")
-    pieces = time_pieces(changes, ["incident_id"], "us", 0, rows_per_piece)
+    pieces = time_pieces(changes, ["incident_id"], "us", 0, rows_per_piece).where("_own")
     start = F.array(*[
         F.struct(F.lit(s).alias("state"), F.lit(None).cast("bigint").alias("closed_us"),
                  F.lit(None).cast("bigint").alias("changed_us"),
@@ -148,7 +148,7 @@ def pending_false_positives(actions: DataFrame, threshold: int = RETRAIN_THRESHO
     key = F.lit("all") if store is None else F.col(store)
     adds = actions.where("action = 'disposition' and value = 'false_positive'").select(
         key.alias("store"), "us", "seq", F.size("fingerprints").alias("n")).where("n > 0")
-    pieces = time_pieces(adds, ["store"], "us", 0, rows_per_piece)
+    pieces = time_pieces(adds, ["store"], "us", 0, rows_per_piece).where("_own")
     start = F.array(*[
         F.struct(F.lit(i).alias("pending"), F.lit(0).cast("bigint").alias("retrains"))
         for i in range(threshold)])
