@@ -61,10 +61,10 @@ def parse_rule_documents(documents: DataFrame) -> DataFrame:
     return documents.select("path", "value").mapInPandas(parse, RULE_SCHEMA + ", error string")
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
+def read_rules(spark: SparkSession, path: str, pattern: str = "*.yml") -> DataFrame:
     """All rule files below a folder; bad ones carry an ``error`` and no rule."""
     files = spark.read.option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.yml").text(path, wholetext=True)
+        "pathGlobFilter", pattern).text(path, wholetext=True)
     return parse_rule_documents(files.select("value", F.col("_metadata.file_path").alias("path")))
 
 

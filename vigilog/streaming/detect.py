@@ -169,14 +169,14 @@ class RuleFolder:
     Called once per micro-batch; a set with an error leaves the one before in force.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, pattern: str = "*.yml"):
+        self.spark, self.path, self.pattern = spark, path, pattern
         self.rules: list[dict] = []
         self.errors: list[str] = []
         self.refresh()
 
     def refresh(self) -> bool:
-        table = read_rules(self.spark, self.path)
+        table = read_rules(self.spark, self.path, self.pattern)
         broken = [r["source_file"] for r in table.where("error is not null").limit(100).collect()]
         usable = table.where("error is null")
         found = rule_findings(usable, rule_matchers(usable), techniques_table(self.spark))

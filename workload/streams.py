@@ -36,10 +36,6 @@ def as_stream(df):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-def line_folder(spark, sf) -> str:
-    return os.path.dirname(stage(spark, sf, "raw_lines", lambda: log_lines(spark, sf)).inputFiles()[0])
-
-
 def line_stream(spark, sf):
     lines = stage(spark, sf, "raw_lines", lambda: log_lines(spark, sf))
     return as_stream(lines)
@@ -111,11 +107,7 @@ def refresh(spark, sf):
     rules, out = folder(spark), folder(spark)
     spark.createDataFrame([("title: Port Scan Detected\nid: a1\nlogsource: {}\nlevel: low\ntags: [attack.t1046]\ndetection:\n"
                             "  k: ['port scan']\n  condition: k",)], "value string").coalesce(1).write.text(rules)
-    # the text writer names its files .txt; a rule folder holds .yml
-    for name in os.listdir(rules):
-        if name.endswith(".txt"):
-            os.rename(f"{rules}/{name}", f"{rules}/{name[:-4]}.yml")
-    watched = RuleFolder(spark, rules)
+    watched = RuleFolder(spark, rules, "*.txt")  # as the text writer names its files
     plain = as_stream(events(spark, sf)).withColumn("sigma_matches", F.array().cast("array<string>"))
     plain.writeStream.trigger(availableNow=True).option("checkpointLocation", out + "/state").foreachBatch(
         watched.each_batch(lambda df, _: df.select(F.explode("sigma_matches").alias("title")).write.mode(
