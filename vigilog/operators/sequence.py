@@ -7,26 +7,22 @@ from pyspark.sql.window import Window
 from vigilog.functions.text import all_of, any_of
 from vigilog.operators.dedup import throttle
 from vigilog.operators.hotkeys import time_pieces
+from vigilog.operators.rules import TEXT_MARK
 from vigilog.session import checkpointed
 from vigilog.sources.catalog import CHAINS
 from vigilog.values import DEDUP_SECONDS, WINDOW_CAP
 
 
-def _holding(word: str):
-    return lambda text: F.contains(F.lower(text), F.lit(word))
+def step_text() -> Column:
+    """Fired titles, tags and message as one lower-case text, kept apart by marks."""
+    return F.lower(F.concat_ws(TEXT_MARK, F.col("sigma_matches"), F.col("tags"), F.col("message")))
 
 
 def step_matches(matchers: list[str]) -> Column:
     """Any matcher inside a fired title, a tag or the message, or equal to the program."""
-    tests = []
-    for word in dict.fromkeys(m.lower() for m in matchers):
-        inside = _holding(word)
-        tests += [
-            F.exists("sigma_matches", inside), F.exists("tags", inside),
-            F.coalesce(inside(F.col("message")), F.lit(False)),
-            F.coalesce(F.lower("program") == word, F.lit(False)),
-        ]
-    return any_of(tests)
+    words = list(dict.fromkeys(m.lower() for m in matchers))
+    return any_of([F.contains(step_text(), F.lit(w)) for w in words] + [
+        F.coalesce(F.lower("program").isin(words), F.lit(False))])
 
 
 def chain_steps(chains=CHAINS) -> list[tuple]:
