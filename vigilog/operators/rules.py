@@ -134,26 +134,36 @@ def keyword_text(message: Column, raw: Column) -> Column:
         F.concat(message, F.lit(TEXT_MARK), raw)))
 
 
-def keyword_matches(text: Column, keywords: list[str]) -> Column:
-    """Any keyword in the message, else in the raw line (see ``keyword_text``)."""
-    return any_of([F.contains(text, F.lit(w)) for w in dict.fromkeys(k.lower() for k in keywords)])
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def field_matches(lower: Column, text: Column, modifier: str, values: list[str],
+def _either(tests: list[str]) -> Column:
+    """One expression for all literals of a matcher: large rule sets are built quickly."""
+    return F.expr(" or ".join(f"coalesce({t}, false)" for t in tests)) if tests else F.lit(False)
+
+
+def keyword_matches(text: str, keywords: list[str]) -> Column:
+    """Any keyword in the column made by ``keyword_text``: in the message, else the raw line."""
+    words = dict.fromkeys(k.lower() for k in keywords)
+    return _either([f"contains({text}, {_quoted(w)})" for w in words])
+
+
+def field_matches(lower: str, text: str, modifier: str, values: list[str],
                   spark: SparkSession) -> Column:
-    """Any value matches the field per modifier; a missing field never matches."""
-    wanted = list(dict.fromkeys(v.lower() for v in values))
-    if modifier == "startswith":
-        tests = [F.startswith(lower, F.lit(v)) for v in wanted]
-    elif modifier == "endswith":
-        tests = [F.endswith(lower, F.lit(v)) for v in wanted]
-    elif modifier == "re":
-        tests = [text.rlike("(?idU)" + v) for v in values if valid_regex(spark, v)]
-    elif modifier == "exact":
-        tests = [lower == v for v in wanted]
-    else:  # contains, and any modifier not known
-        tests = [F.contains(lower, F.lit(v)) for v in wanted]
-    return any_of([F.coalesce(t, F.lit(False)) for t in tests])
+    """Any value matches the field per modifier; a missing field never matches.
+
+    ``lower`` and ``text`` name columns with the field's text, lower-case and as it is.
+    """
+    wanted = [_quoted(v) for v in dict.fromkeys(v.lower() for v in values)]
+    if modifier in ("startswith", "endswith"):
+        return _either([f"{modifier}({lower}, {v})" for v in wanted])
+    if modifier == "re":
+        return _either([f"{text} rlike {_quoted('(?idU)' + v)}" for v in values
+                        if valid_regex(spark, v)])
+    if modifier == "exact":
+        return _either([f"{lower} = {v}" for v in wanted])
+    return _either([f"contains({lower}, {v})" for v in wanted])  # and any modifier not known
 
 
 # -- rule sets -------------------------------------------------------------------------------
@@ -195,8 +205,8 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
 
     def matcher(kind, field, modifier, values):
         if kind == "keyword":
-            return keyword_matches(F.col("_keyword_text"), values)
-        return field_matches(F.col(lowers[field]), F.col(texts[field]), modifier, values, spark)
+            return keyword_matches("_keyword_text", values)
+        return field_matches(lowers[field], texts[field], modifier, values, spark)
 
     fired = []
     for number, (rule, groups) in enumerate(zip(rules, grouped)):
