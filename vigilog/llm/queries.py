@@ -1,4 +1,4 @@
 """All queries of this folder; importing it registers them."""
 
-from vigilog.llm import bpe  # noqa: F401
+from vigilog.llm import bpe, quality  # noqa: F401
 from vigilog.llm.common import QUERIES, SQL  # noqa: F401
