@@ -1,4 +1,4 @@
 """All queries of this folder; importing it registers them."""
 
-from vigilog.llm import bpe, leaks, lines, quality, spans, toxicity  # noqa: F401
+from vigilog.llm import bpe, leaks, lines, neardup, quality, spans, toxicity  # noqa: F401
 from vigilog.llm.common import QUERIES, SQL  # noqa: F401
