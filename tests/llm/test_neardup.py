@@ -51,14 +51,14 @@ def test_large_groups_and_odd_rows(spark, size):
     rng = random.Random(11)
     word = lambda: f"w{rng.randint(0, 5000)}"
     rows = []
-    for group in range(4):  # near copies of one text each, more than a small node holds
+    for group in range(2):  # near copies of one text each, more than a small node holds
         base = [word() for _ in range(120)]
-        for _ in range(90):
+        for _ in range(60):
             own = list(base)
             for _ in range(rng.randint(0, 9)):
                 own[rng.randrange(120)] = word()
             rows.append((len(rows), " ".join(own)))
-    rows += [(len(rows) + i, "the same words in every text " + " ".join(word() for _ in range(30))) for i in range(90)]
+    rows += [(len(rows) + i, "the same words in every text " + " ".join(word() for _ in range(30))) for i in range(60)]
     rows += [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "ONE"), (1004, "one"), (1005, "one two"),
              (1006, "One\tTwo"), (1007, "x" * 100_000), (1008, "a b " * 30_000), (1009, "b a " * 30_000), (3, rows[3][1])]
     docs = spark.createDataFrame([(*r, 1) for r in rows] + [(None, rows[0][1], 1)], "doc_id long, text string, label int")

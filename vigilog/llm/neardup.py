@@ -278,7 +278,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             _children(threshold), "node bigint, v bigint"))
         first = False
     named = search.labelled(sets.join(classes.select("high", "low", "v"), ["high", "low"], "left"), "v", "label")
-    component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(
+        F.when(F.col("n_shingles") > 0, F.col("label")), F.col("doc_id")))
     return named.select("doc_id", "n_shingles", component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

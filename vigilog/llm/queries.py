@@ -1,4 +1,9 @@
 """All queries of this folder; importing it registers them."""
 
+import corpus_pipeline
 from vigilog.llm import bpe, leaks, lines, neardup, quality, spans, toxicity  # noqa: F401
 from vigilog.llm.common import QUERIES, SQL  # noqa: F401
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

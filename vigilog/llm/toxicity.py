@@ -286,11 +286,11 @@ def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic",
         model = fit_chain(evidence, *_training_chains(sentences, evidence))
     else:
         model = ChainModel({}, np.array([-20.0]), np.zeros((2, 2)), 0.0)
-    got = (_read(sample, model, spans=False).select("_read.none", "_read.expected", "label")
-           .orderBy("none", "expected", "label").toArrow())
-    y = np.array(got["label"].to_pylist(), float)
+    got = _read(sample, model, spans=False).select("_read.none", "_read.expected", "label").toArrow()
+    read = np.array([got[c].to_pylist() for c in ("none", "expected", "label")], float)
+    none, expected, y = read[:, np.lexsort(read)]  # sums do not depend on the order of arrival
     if len(set(y)) == 2:
-        model.outer = logistic(_outer_inputs(got["none"].to_pylist(), got["expected"].to_pylist()), y)
+        model.outer = logistic(_outer_inputs(none, expected), y)
     else:
         model.outer = np.array([0.0, 0.0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
     return model
