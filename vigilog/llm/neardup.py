@@ -25,11 +25,12 @@ from pyspark.sql import types as T
 from vigilog.llm.common import checkpointed, prepare, query, table, utf8, whole_text
 from vigilog.llm.components import components
 
-WIDTH = 64          # minwise tokens of a set
+WIDTH = 128         # minwise tokens of a set
 TREES = 20          # independent trees
 START_DEPTH = 2     # levels a tree is branched before nodes are looked at
-SMALL = 40          # documents of a node that are compared exhaustively
-SLACK = 0.25        # pairs whose tokens agree less than threshold - SLACK are no candidates
+SMALL = 4_096       # documents of a node that are compared exhaustively
+TINY = 40           # up to here by a join, above in one task, as a matrix
+SLACK = 0.15        # pairs whose tokens agree less than threshold - SLACK are no candidates
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -167,6 +168,26 @@ def _agreement(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((same - 1 / 256) / (1 - 1 / 256))
 
 
+def _within(percent: int):
+    """The likely pairs of a node's documents that are not known to be connected."""
+    def within(rows: pa.Table) -> pa.Table:
+        v, label, n = (np.asarray(rows[c]) for c in ("v", "label", "n"))
+        sig = np.frombuffer(b"".join(rows["s"].to_pylist()), np.uint8).reshape(len(v), -1)
+        a, b, likely = [], [], []
+        for i in range(len(v) - 1):
+            later = np.flatnonzero((label[i + 1:] != label[i]) & (
+                100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:]))) + i + 1
+            same = ((sig[later] == sig[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
+            near = same >= percent / 100 - SLACK
+            a.append(np.full(near.sum(), v[i]))
+            b.append(v[later[near]])
+            likely.append(same[near])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()),
+                         "agreement": pa.array(np.concatenate(likely), pa.float64())})
+
+    return within
+
+
 def _linked(size: int, percent: int):
     @F.arrow_udf(T.BooleanType())
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -188,7 +209,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
         self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
-        self.bytes = classes.select("v", F.col("brief").alias("s"))
+        self.bytes = classes.select("v", F.col("brief").alias("s"), F.col("n_shingles").alias("n"))
         self.texts: DataFrame | None = None
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -206,8 +227,10 @@ class _Search:
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b, agreement) whose tokens agree enough."""
-        left, right = (self.bytes.select(F.col("v").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        left, right = (self.bytes.select(F.col("v").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+                       for c in "ab")
         return (pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+                .where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
                 .select("a", "b", _agreement("sa", "sb").alias("agreement"))
                 .where(F.col("agreement") >= self.percent / 100 - SLACK))
 
@@ -245,10 +268,13 @@ class _Search:
         marked = self.labelled(live, "v", "label")
         mixed = marked.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         open_ = checkpointed(marked.join(mixed.select("node"), "node"))
-        small = open_.where(F.col("n") <= SMALL).select("node", "v", "label")
-        other = small.select("node", F.col("v").alias("b"), F.col("label").alias("lb"))
-        pairs = small.withColumnRenamed("v", "a").join(other, "node").where("label < lb").select("a", "b")
-        self.confirm(checkpointed(self.likely(pairs)))
+        tiny = open_.where(F.col("n") <= TINY).select("node", "v", "label")
+        other = tiny.select("node", F.col("v").alias("b"), F.col("label").alias("lb"))
+        pairs = self.likely(tiny.withColumnRenamed("v", "a").join(other, "node").where("label < lb").select("a", "b"))
+        wider = (open_.where((F.col("n") > TINY) & (F.col("n") <= SMALL)).select("node", "v", "label")
+                 .join(self.bytes, "v").groupBy("node").applyInArrow(
+                     _within(self.percent), "a bigint, b bigint, agreement double"))
+        self.confirm(checkpointed(pairs.union(wider).select("a", "b").distinct()))
         return open_.where(F.col("n") > SMALL).select("node", "v")
 
 
@@ -267,7 +293,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         _embed(size), "doc_id bigint, n_shingles bigint, high bigint, low bigint, sig binary"))
     classes = checkpointed(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low")
-        .agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig")).withColumn("brief", _brief("sig")))
+        .agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+        .withColumn("brief", _brief("sig")))
     search = _Search(docs, classes, size, percent)
     rows, first = classes.select("v", "sig").mapInArrow(_roots(threshold), "node bigint, v bigint"), True
     while True:
