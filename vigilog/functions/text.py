@@ -59,19 +59,18 @@ def last_wins_map(entries: str) -> Column:
     return F.map_from_entries(F.when(repeated, kept).otherwise(F.col(entries)))
 
 
-def held(column: Column) -> Column:
-    """The same value, computed where it stands.
+def hold(df, passed=()):
+    """The same columns; those not in ``passed`` are computed where they stand.
 
-    A filter on a derived column is otherwise rewritten in terms of the raw line and moved
-    below every stage of the parser, which computes all of them again for the filter. The
-    index is always 0, but not a constant to the optimizer.
+    A filter on a derived column is otherwise rewritten in terms of the raw line and moved below
+    every stage of the parser, which computes all of them again for the filter. The derived
+    columns come out of a generator instead: filters on them stay above it, while filters on
+    columns only passed through move below it and down to the scan.
     """
-    return F.get(F.array(column), F.spark_partition_id() * 0)
-
-
-def hold(df, passed=()):
-    """All columns held, except those only passed through."""
-    return df.select(*[c if c in passed else held(F.col(c)).alias(c) for c in df.columns])
+    kept = [c for c in df.columns if c in passed]
+    made = [c for c in df.columns if c not in passed]
+    return (df.select(*kept, F.struct(*made).alias("_held"))
+            .select(*kept, F.inline(F.array("_held"))).select(*df.columns))
 
 
 def pairs(keys: Column, values: Column) -> Column:

@@ -190,30 +190,27 @@ def select_alerts(alert_rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Alerts named by ``wanted(id)``: an id prefix, an id beginning with the alert's first
     eight digits, or a fingerprint.
 
-    All three are equalities on eight characters or on the fingerprint once the request is
-    long enough; shorter prefixes are compared on their own length.
+    All three are equalities: each alert has its prefixes, its first eight digits and its
+    fingerprint as keys, each request the keys it may be meant by.
     """
-    ids = wanted.select(F.col("id").alias("_id")).distinct()
-    lengths = [r[0] for r in ids.select(F.length("_id")).distinct().limit(64).collect()]
-    keyed = ids.select("_id", F.length("_id").alias("_len"))
-    by_print = alert_rows.join(ids, alert_rows["fingerprint"] == F.col("_id"), "left_semi")
-    result = by_print
-    for length in sorted(lengths):
-        some = keyed.where(F.col("_len") == length).select(F.col("_id"))
-        result = result.unionByName(alert_rows.join(
-            some, F.substring(alert_rows["alert_id"], 1, length) == F.col("_id"), "left_semi"))
-    head = keyed.where("_len >= 8").select(F.substring("_id", 1, 8).alias("_id"))
-    result = result.unionByName(alert_rows.join(
-        head, F.substring(alert_rows["alert_id"], 1, 8) == F.col("_id"), "left_semi"))
-    chosen = result.select("alert_id").distinct()
+    key = lambda kind, value: F.concat(F.lit(kind), value)
+    first = F.substring("alert_id", 1, 8)
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("alert_id")),
+                           lambda n: key("p", F.substring(F.col("alert_id"), F.lit(1), n)))
+    named = alert_rows.select("alert_id", F.explode(F.concat(
+        prefixes, F.array(key("h", first), key("f", F.col("fingerprint"))))).alias("_key"))
+    asked = wanted.select(F.explode(F.array_compact(F.array(
+        key("p", F.col("id")), key("f", F.col("id")),
+        F.when(F.length("id") >= 8, key("h", F.substring("id", 1, 8)))))).alias("_key")).distinct()
+    chosen = named.join(asked, "_key", "left_semi").select("alert_id").distinct()
     return alert_rows.join(chosen, "alert_id", "left_semi")
 
 
 def recent_alerts(alert_rows: DataFrame, limit: int = 50, offset: int = 0,
                   severity: str | None = None, alert_type: str | None = None) -> DataFrame:
-    """A page of the newest alerts; at most 500 rows are ever asked for."""
+    """A page of the newest alerts."""
     rows = filter_alerts(alert_rows, severity, alert_type)
-    return rows.orderBy(F.desc("us"), "alert_id").offset(offset).limit(min(limit, 500))
+    return rows.orderBy(F.desc("us"), "alert_id").offset(offset).limit(limit)
 
 
 def by_severity(alert_rows: DataFrame) -> DataFrame:

@@ -63,9 +63,29 @@ def _json_first(keys: list[str]) -> Column:
     return value
 
 
-def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = None) -> DataFrame:
+def _with_identity(df: DataFrame, raw: str, identity: list[str] | None) -> DataFrame:
+    """``event_id``: the given one, else a hash of the columns that identify a line."""
+    if identity:
+        return df.withColumn("event_id", F.sha2(F.concat_ws(
+            "\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]), 256))
+    if "event_id" in df.columns:
+        return df.withColumn("event_id", F.col("event_id").cast("string"))
+    if df.isStreaming:
+        raise ValueError("name the columns that identify a line of the stream")
+    return df.withColumn("event_id", F.sha2(F.concat_ws(
+        "\x1f", raw, "source_host", F.unix_micros("ingested_at"), F.spark_partition_id(),
+        F.monotonically_increasing_id()), 256))
+
+
+def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = None,
+               identity: list[str] | None = None) -> DataFrame:
     """One parsed row per line; columns of the input are kept.
 
+    Every line is an event of its own, equal lines too: ``event_id`` is taken from the input
+    (``read_logs`` makes it of file and position), or made of the columns named by ``identity``
+    (of a queue: topic, partition, offset). A batch with neither gets ids that hold within this
+    reading only; a stream is refused.
+
     Formats are tried in the order RFC 5424, CEF, JSON, RFC 3164, plain text. RFC 3164
     times carry no year: ``reference_year`` or else the year of ``ingested_at`` is taken,
     and an impossible date becomes ``ingested_at``.
@@ -74,6 +94,7 @@ def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = Non
         df = df.withColumn("ingested_at", F.current_timestamp())
     if "source_host" not in df.columns:
         df = df.withColumn("source_host", F.lit(None).cast("string"))
+    df = _with_identity(df, raw, identity)
     kept = [c for c in df.columns if c != raw]
 
     lines = df.select(*kept, strip(F.coalesce(F.col(raw), F.lit(""))).alias("raw"))
@@ -177,14 +198,8 @@ def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = Non
     )
     lines = lines.withColumn("_entries", F.when(F.col("_cef"), cef_entries)).withColumn(
         "_iso", iso_time(F.col("_clock")))
-    event_id = (
-        F.col("event_id").cast("string") if "event_id" in kept
-        else F.sha2(F.concat_ws("\x1f", "raw", "source_host", F.unix_micros("ingested_at")), 256)
-    )
-    passed = [c for c in kept if c != "event_id"]
     return hold(lines.select(
-        *passed,
-        event_id.alias("event_id"), "raw", "log_source",
+        *kept, "raw", "log_source",
         F.coalesce(
             F.col("_old_time"),
             F.timestamp_micros(F.round(F.col("_clock_number") * 1000000).try_cast("bigint")),
@@ -214,4 +229,4 @@ def parse_logs(df: DataFrame, raw: str = "raw", reference_year: int | None = Non
             F.col("_found_map"),
         ).alias("fields"),
         "_json",
-    ), passed)
+    ), kept)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.functions.text import all_of, any_of, held
+from vigilog.functions.text import all_of, any_of, hold
 from vigilog.operators.normalize import get_field
 
 TEXT_MARK = "\ue0f1\ue0f2"  # private-use characters no keyword holds
@@ -234,7 +234,8 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     if not fired:
         return events.withColumn("fired", F.array().cast(
             "array<struct<rule:int,groups:array<string>>>"))
-    return staged.withColumn("fired", held(F.array_compact(F.array(*fired)))).drop(*hidden)
+    matched = staged.withColumn("fired", F.array_compact(F.array(*fired))).drop(*hidden)
+    return hold(matched, events.columns)
 
 
 def rule_attributes(rules: list[dict]) -> Column:

@@ -27,21 +27,38 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate results (``spark.checkpoint.dir``).
 
-    Only where none is named (tests, a laptop) is a temporary one chosen.
+    Only on one machine (tests, a laptop) a temporary one is chosen where none is named;
+    executors on other machines could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def job_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/vigilog-{spark.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows as a written table in the shared folder: computed once, lineage cut.
 
-    Survives the loss of executors, and what reads it knows its size.
+    Survives the loss of executors, and what reads it knows its size. ``release`` deletes it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vigilog-{uuid.uuid4().hex}"
+    path = f"{job_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote by ``checkpointed``; call it when the
+    results that read them are written."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(job_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

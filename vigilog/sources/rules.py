@@ -129,10 +129,10 @@ def usable_groups(detection: str) -> list[str]:
     return sorted(detection_groups(json.loads(detection)))
 
 
-def file_snapshot(spark: SparkSession, path: str) -> DataFrame:
+def file_snapshot(spark: SparkSession, path: str, pattern: str = "*.yml") -> DataFrame:
     """(path, modified) of the rule files below a folder; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.yml").load(path).select(
+        "pathGlobFilter", pattern).load(path).select(
         "path", F.col("modificationTime").alias("modified"))
 
 
