@@ -1,13 +1,22 @@
 """Streams in several micro-batches against the batch functions."""
 
+import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from vigilog.operators.alerts import alerts_from_matches, merge_alerts
 from vigilog.operators.dedup import dedup_gap
+from vigilog.operators.normalize import normalize
+from vigilog.operators.parse import parse_logs
+from vigilog.operators.rules import enrich_with_matches
 from vigilog.plans.detect import find_chains
-from vigilog.sources.catalog import CHAINS
-from vigilog.streaming.detect import stream_first_alerts, stream_sequences
+from vigilog.sources.catalog import CHAINS, RULES
+from vigilog.sources.lines import stream_logs
+from vigilog.streaming.detect import (
+    RuleFolder, stream_events, stream_first_alerts, stream_sequences, write_batch,
+)
 
 WORDS = ["Failed password", "Accepted password", "Port Scan", "/admin", "uid=0", "nothing"]
 
@@ -48,3 +57,66 @@ def test_first_alerts(spark, tmp_path):
     want = {r.event_id for r in dedup_gap(df, ["fingerprint"], "us", 100, ["event_id"]).collect()}
     got = {r.event_id for r in streamed(spark, df, tmp_path, lambda s: stream_first_alerts(s, 100)).collect()}
     assert got == want
+
+
+def test_lockout_outlives_the_window(spark, tmp_path):
+    """A chain of a 120 s window that fires again within its 300 s lockout, long after the rows expired."""
+    chain = next(c for c in CHAINS if c["window_seconds"] == min(x["window_seconds"] for x in CHAINS))
+    base = events(spark)
+    want = [(r.chain_id, r.us) for r in find_chains(base, [chain], lock_seconds=3000).collect()]
+    got = [(r.chain_id, r.us) for r in streamed(
+        spark, base, tmp_path, lambda s: stream_sequences(s, [chain], lock_seconds=3000)).collect()]
+    assert sorted(got) == sorted(want) and want
+    assert len(find_chains(base, [chain], lock_seconds=1).collect()) > len(want)
+
+
+def test_equal_lines_and_redelivery(spark, tmp_path):
+    line = "<34>1 2025-03-09T04:11:30Z relay-2 sshd 5150 - - Failed password for pia from 198.51.100.41 port 2200\n"
+    src = tmp_path / "src"
+    (src / "in").mkdir(parents=True)
+    (src / "late").mkdir()
+    (src / "in" / "a.log").write_text(line * 3)
+
+    def run():
+        lines = stream_logs(spark, str(src / "*"), by_name=True)
+        rows = stream_events(lines, RULES).select("event_id", "message")
+        rows.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state_")).format(
+            "parquet").start(str(tmp_path / "out_")).awaitTermination()
+        return spark.read.schema(rows.schema).parquet(str(tmp_path / "out_")).count()
+
+    assert run() == 3
+    (src / "late" / "a.log").write_text(line * 3)  # the same file once more
+    (src / "in" / "b.log").write_text(line)
+    assert run() == 4
+    with pytest.raises(ValueError):
+        stream_events(spark.readStream.text(str(src / "in")).withColumnRenamed("value", "raw"), RULES)
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    start = dt.datetime(2025, 3, 9, 4)
+    rows = [(f"e{i}", "Failed password for pia from 198.51.100.41 port 2200", start + dt.timedelta(seconds=20 * i))
+            for i in range(4)]
+    df = enrich_with_matches(normalize(parse_logs(spark.createDataFrame(
+        rows, "event_id string, raw string, ingested_at timestamp"))), RULES).drop("fired")
+    write = write_batch(str(tmp_path), RULES)
+    for batch in (0, 1, 1):
+        write(df, batch)
+    assert spark.read.parquet(str(tmp_path / "events")).where("batch = 1").count() == 4
+    log = spark.read.json(str(tmp_path / "alerts")).where("batch = 1").collect()
+    want = merge_alerts(alerts_from_matches(df, RULES)).collect()
+    assert {r.alert_id for r in log} == {r.alert_id for r in want} and len(log) == len(want) >= 1
+    assert spark.read.text(str(tmp_path / "bundles")).where("batch = 1").count() == len(want)
+
+
+def test_rule_folder_swaps_whole_sets_only(spark, tmp_path):
+    rule = "title: T{0}\nid: {0}\nlogsource: {{}}\nlevel: low\ntags: [attack.t1046]\ndetection:\n  k: [x]\n  condition: k"
+    (tmp_path / "a.yml").write_text(rule.format(1))
+    folder = RuleFolder(spark, str(tmp_path))
+    assert [r["id"] for r in folder.rules] == ["1"] and not folder.refresh()
+    for i in range(120):
+        (tmp_path / f"bad{i}.yml").write_text("title: [")
+    assert not folder.refresh() and folder.errors.count() == 120 and [r["id"] for r in folder.rules] == ["1"]
+    for i in range(120):
+        (tmp_path / f"bad{i}.yml").unlink()
+    (tmp_path / "b.yml").write_text(rule.format(2))
+    assert folder.refresh() and sorted(r["id"] for r in folder.rules) == ["1", "2"] and folder.errors.isEmpty()

@@ -16,8 +16,8 @@ def store_rows(events: DataFrame) -> DataFrame:
         F.to_date("timestamp").alias("event_date"))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    store_rows(events).write.mode("append").partitionBy("event_date").parquet(path)
+def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+    store_rows(events).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

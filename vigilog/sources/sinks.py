@@ -12,9 +12,9 @@ def with_day(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn(DAY, F.to_date(F.timestamp_micros("us")))
 
 
-def write_alert_log(alerts: DataFrame, path: str) -> None:
+def write_alert_log(alerts: DataFrame, path: str, mode: str = "append") -> None:
     """One JSON object per alert, one set of files per day."""
-    with_day(alerts).write.mode("append").partitionBy(DAY).json(path)
+    with_day(alerts).write.mode(mode).partitionBy(DAY).json(path)
 
 
 def stix_bundles(alerts: DataFrame, created=None) -> DataFrame:
@@ -23,5 +23,5 @@ def stix_bundles(alerts: DataFrame, created=None) -> DataFrame:
     return with_day(alerts).select("alert_id", DAY, bundle(made).alias("value"))
 
 
-def write_stix_bundles(alerts: DataFrame, path: str) -> None:
-    stix_bundles(alerts).select(DAY, "value").write.mode("append").partitionBy(DAY).text(path)
+def write_stix_bundles(alerts: DataFrame, path: str, mode: str = "append") -> None:
+    stix_bundles(alerts).select(DAY, "value").write.mode(mode).partitionBy(DAY).text(path)

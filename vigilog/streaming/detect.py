@@ -5,15 +5,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from vigilog.operators.alerts import alerts_from_matches, severity_at_least
+from vigilog.operators.alerts import alerts_from_matches, merge_alerts, with_alert_id
 from vigilog.operators.normalize import normalize, source_key
 from vigilog.operators.parse import parse_logs
 from vigilog.operators.quality import rule_findings
 from vigilog.operators.rules import enrich_with_matches
 from vigilog.operators.sequence import chain_steps
+from vigilog.session import checkpointed
 from vigilog.sources.catalog import CHAINS, techniques_table
 from vigilog.sources.events import write_events
-from vigilog.sources.rules import load_rule_set, read_rules, rule_matchers
+from vigilog.sources.rules import file_snapshot, load_rule_set, read_rules, rule_matchers, rules_changed
 from vigilog.sources.sinks import write_alert_log, write_stix_bundles
 from vigilog.values import DEDUP_SECONDS, WINDOW_CAP
 
@@ -21,13 +22,15 @@ LATE = "10 minutes"
 
 
 def stream_events(lines: DataFrame, rules: list[dict], late: str = LATE, once: bool = True,
-                  reference_year: int | None = None) -> DataFrame:
+                  reference_year: int | None = None, identity: list[str] | None = None) -> DataFrame:
     """Parsed, normalized and matched events of a stream of lines.
 
-    Event time decides; rows later than ``late`` are dropped by the stateful steps behind, and
-    a line delivered twice counts once.
+    Event time decides; rows later than ``late`` are dropped by the stateful steps behind. A line
+    is known by ``event_id`` or by the columns named by ``identity``, never by its text: equal
+    lines are as many events, and only one delivered twice counts once.
     """
-    events = enrich_with_matches(normalize(parse_logs(lines, reference_year=reference_year)), rules)
+    parsed = parse_logs(lines, reference_year=reference_year, identity=identity)
+    events = enrich_with_matches(normalize(parsed), rules)
     events = events.drop("fired").withColumn("source_key", source_key()).withColumn(
         "us", F.unix_micros("timestamp")).withWatermark("timestamp", late)
     return events.dropDuplicatesWithinWatermark(["event_id"]) if once else events
@@ -37,32 +40,35 @@ def stream_events(lines: DataFrame, rules: list[dict], late: str = LATE, once: b
 
 FIRE_SCHEMA = ("chain_id string, source_key string, us bigint, event_id string, first_us bigint, "
                "step_events array<string>")
-WINDOW_STATE = "times array<bigint>, ids array<string>, masks array<bigint>, fired array<bigint>"
+WINDOW_STATE = "times array<bigint>, ids array<string>, masks array<array<bigint>>, fired array<bigint>"
 NEVER = -(2**62)
 
 
 def _window_fires(spec: list[tuple], cap: int, lock: int, keep: int):
     """Sequence state of one source: its newest rows and when each chain last fired.
 
-    ``spec`` is (chain id, window in microseconds, bits of the steps).
+    ``spec`` is (chain id, window in microseconds, number of steps); a row's mask of a chain has a
+    bit for each step that it is. State is kept for ``keep``: as long as a window may reach back
+    or a lockout lasts.
     """
+    widest = max(width for _, width, _ in spec)
 
     def advance(key, batches, state):
-        fresh = pd.concat(list(batches))[["us", "event_id", "mask"]] if not state.hasTimedOut \
+        fresh = pd.concat(list(batches))[["us", "event_id", "masks"]] if not state.hasTimedOut \
             else None
         if fresh is None:
             state.remove()
             return
         times, ids, masks, fired = state.get if state.exists else ([], [], [], [NEVER] * len(spec))
         rows = [(t, i, m, False) for t, i, m in zip(times, ids, masks)]
-        rows += [(int(t), i, int(m), True) for t, i, m in fresh.itertuples(index=False)]
+        rows += [(int(t), i, [int(x) for x in m], True) for t, i, m in fresh.itertuples(index=False)]
         rows.sort(key=lambda r: r[:2])
         fired, out = list(fired), []
-        for c, (chain_id, width, bits) in enumerate(spec):
-            starts = [None] * len(bits)  # row where the latest completed prefix began
-            for at, (us, event_id, mask, is_new) in enumerate(rows):
-                for s in range(len(bits) - 1, -1, -1):
-                    if mask >> bits[s] & 1:
+        for c, (chain_id, width, steps) in enumerate(spec):
+            starts = [None] * steps  # row where the latest completed prefix began
+            for at, (us, event_id, masks_, is_new) in enumerate(rows):
+                for s in range(steps - 1, -1, -1):
+                    if masks_[c] >> s & 1:
                         begin = at if s == 0 else starts[s - 1]
                         if begin is not None and (starts[s] is None or begin > starts[s]):
                             starts[s] = begin
@@ -74,12 +80,12 @@ def _window_fires(spec: list[tuple], cap: int, lock: int, keep: int):
                 window = [r for r in rows[max(0, at - cap + 1):at + 1] if r[0] >= us - width]
                 taken = []
                 for r in window:
-                    if len(taken) < len(bits) and r[2] >> bits[len(taken)] & 1:
+                    if len(taken) < steps and r[2][c] >> len(taken) & 1:
                         taken.append(r[1])
                 fired[c] = us
                 out.append((chain_id, key[0], us, event_id, window[0][0], taken))
         newest = rows[-1][0]
-        rows = [r for r in rows[-cap:] if r[0] >= newest - keep]
+        rows = [r for r in rows[-cap:] if r[0] >= newest - widest]
         state.update(([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], fired))
         state.setTimeoutTimestamp(max(newest // 1000 + keep // 1000,
                                       state.getCurrentWatermarkMs() + 1))
@@ -90,22 +96,20 @@ def _window_fires(spec: list[tuple], cap: int, lock: int, keep: int):
 
 def stream_sequences(events: DataFrame, chains=CHAINS, cap: int = WINDOW_CAP,
                      lock_seconds: float = DEDUP_SECONDS) -> DataFrame:
-    """Fires of attack chains as events arrive; the state of a silent source expires with the
-    longest window."""
-    spec, flags = [], []
+    """Fires of attack chains as events arrive; the state of a silent source expires when neither
+    a window nor a lockout can reach back to it."""
+    spec, masks = [], []
     for chain_id, seconds, steps in chain_steps(chains):
-        spec.append((chain_id, int(seconds * 1_000_000),
-                     list(range(len(flags), len(flags) + len(steps)))))
-        flags += steps
-    if len(flags) > 62:
-        raise ValueError("at most 62 steps over all chains")
-    mask = F.lit(0).cast("bigint")
-    for bit, step in enumerate(flags):
-        mask = mask + F.when(step, F.lit(1 << bit).cast("bigint")).otherwise(0)
-    keep = max(width for _, width, _ in spec)
-    rows = events.select("source_key", "us", "event_id", "timestamp", mask.alias("mask"))
+        spec.append((chain_id, int(seconds * 1_000_000), len(steps)))
+        mask = F.lit(0).cast("bigint")
+        for bit, step in enumerate(steps):  # bits of one chain: its own number of steps is the limit
+            mask = mask + F.when(step, F.lit(1 << bit).cast("bigint")).otherwise(0)
+        masks.append(mask)
+    lock = int(lock_seconds * 1_000_000)
+    keep = max(lock, *(width for _, width, _ in spec))
+    rows = events.select("source_key", "us", "event_id", "timestamp", F.array(*masks).alias("masks"))
     return rows.groupBy("source_key").applyInPandasWithState(
-        _window_fires(spec, cap, int(lock_seconds * 1_000_000), keep), FIRE_SCHEMA, WINDOW_STATE,
+        _window_fires(spec, cap, lock, keep), FIRE_SCHEMA, WINDOW_STATE,
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -147,18 +151,19 @@ def live_counts(events: DataFrame, seconds: int = 2) -> DataFrame:
              (F.col("events") / seconds).alias("events_per_sec"))
 
 
-def write_batch(folder: str, rules: list[dict], minimum: str = "low"):
-    """``foreachBatch`` function: events to the store, their rule alerts to the log and bundles."""
+def write_batch(folder: str, rules: list[dict], minimum: str = "low", seconds: int = DEDUP_SECONDS):
+    """``foreachBatch`` function: events to the store, their merged rule alerts to the log and bundles.
 
-    def write(events: DataFrame, _batch: int) -> None:
-        rows = events.drop("source_key", "us")
-        write_events(rows, f"{folder}/events")
-        alerts = severity_at_least(alerts_from_matches(rows, rules), minimum).select(
-            "*", F.lit(1).cast("bigint").alias("hit_count"), F.col("us").alias("first_us"),
-            F.col("us").alias("last_us"), F.concat_ws("-", "fingerprint", "event_id")
-            .alias("alert_id"))
-        write_alert_log(alerts, f"{folder}/alerts")
-        write_stix_bundles(alerts, f"{folder}/bundles")
+    A micro-batch is parsed once, its alerts are merged and named as in a batch, and all is written
+    below ``batch=<id>`` in place of what an earlier try of it left: a replay changes nothing.
+    """
+
+    def write(events: DataFrame, batch: int) -> None:
+        rows = checkpointed(events.drop("source_key", "us"))
+        alerts = checkpointed(merge_alerts(alerts_from_matches(rows, rules), minimum, seconds))
+        write_events(with_alert_id(rows, alerts), f"{folder}/events/batch={batch}", "overwrite")
+        write_alert_log(alerts, f"{folder}/alerts/batch={batch}", "overwrite")
+        write_stix_bundles(alerts, f"{folder}/bundles/batch={batch}", "overwrite")
 
     return write
 
@@ -166,23 +171,31 @@ def write_batch(folder: str, rules: list[dict], minimum: str = "low"):
 class RuleFolder:
     """The rules of a folder, taken anew when files changed and none has an error.
 
-    Called once per micro-batch; a set with an error leaves the one before in force.
+    Called once per micro-batch. Only names and times of the files are looked at until one of them
+    changes; a set with an error leaves the one before in force, and ``errors`` (source, message)
+    tells all that is wrong with it.
     """
 
     def __init__(self, spark: SparkSession, path: str, pattern: str = "*.yml"):
         self.spark, self.path, self.pattern = spark, path, pattern
         self.rules: list[dict] = []
-        self.errors: list[str] = []
+        self.errors: DataFrame | None = None
+        self._seen: DataFrame | None = None
         self.refresh()
 
     def refresh(self) -> bool:
-        table = read_rules(self.spark, self.path, self.pattern)
-        broken = [r["source_file"] for r in table.where("error is not null").limit(100).collect()]
+        now = checkpointed(file_snapshot(self.spark, self.path, self.pattern))
+        if self._seen is not None and rules_changed(self._seen, now).isEmpty():
+            return False
+        self._seen = now
+        table = checkpointed(read_rules(self.spark, self.path, self.pattern))
         usable = table.where("error is null")
         found = rule_findings(usable, rule_matchers(usable), techniques_table(self.spark))
-        broken += [r["message"] for r in found.where("severity = 'ERROR'").limit(100).collect()]
-        self.errors = broken
-        if broken:
+        self.errors = checkpointed(
+            table.where("error is not null").select(F.col("source_file").alias("source"), F.col("error").alias("message"))
+            .unionByName(found.where("severity = 'ERROR'").select(
+                F.lit(self.path).alias("source"), "message")))
+        if not self.errors.isEmpty():
             return False
         self.rules = load_rule_set(table)
         return True

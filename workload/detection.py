@@ -1,5 +1,7 @@
 """Sources, windows, chains, alerts, selections and reports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigilog.functions.hashing import fingerprint, stix_id
@@ -14,11 +16,12 @@ from vigilog.operators.dedup import dedup_gap, throttle
 from vigilog.operators.incidents import auto_incident, incident_members, merge_incident
 from vigilog.operators.normalize import source_key
 from vigilog.operators.sequence import match_sequences, step_matches, window_rows
+from vigilog.session import job_folder
 from vigilog.sources.catalog import CHAINS
 from vigilog.sources.events import (
-    event_count, recent_events, retain_newest, search_events, store_rows,
+    event_count, read_events, recent_events, retain_newest, search_events, write_events,
 )
-from vigilog.sources.sinks import stix_bundles, with_day
+from vigilog.sources.sinks import stix_bundles, write_alert_log
 from workload.base import (
     LOCK_SECONDS, LONG_CHAINS, RANK_SQL, alerted, alerts, chain_signals, ev, events, fired, fires,
     hits, query, rule_signals, signalled, signals, stepped, table,
@@ -238,9 +241,9 @@ def newest_events(spark, sf):
 
 
 @query("t2_recent_alerts", alerted("""SELECT alert_id, us FROM alerts WHERE severity = 'medium'
-  ORDER BY us DESC, alert_id LIMIT 50 OFFSET 5"""))
+  ORDER BY us DESC, alert_id LIMIT 1000 OFFSET 5"""))
 def newest_alerts(spark, sf):
-    return recent_alerts(alerts(spark, sf), 50, 5, severity="medium").select("alert_id", "us")
+    return recent_alerts(alerts(spark, sf), 1000, 5, severity="medium").select("alert_id", "us")
 
 
 @query("t3_alerts_by_severity", alerted(f"""SELECT alert_id, severity, us, row_number() OVER (
@@ -272,7 +275,9 @@ def counted(spark, sf):
 @query("s5_event_store", ev("""SELECT event_id, host, message[1:512] AS message, 0 AS has_alert,
   CAST(make_timestamp(us) AS DATE) AS event_date FROM ev"""))
 def stored(spark, sf):
-    return store_rows(events(spark, sf)).select(
+    path = f"{job_folder(spark)}/store-{uuid.uuid4().hex}"
+    write_events(events(spark, sf), path)
+    return read_events(spark, path).select(
         "event_id", "host", "message", "has_alert", "event_date")
 
 
@@ -284,7 +289,10 @@ def retained(spark, sf):
 @query("s3_alert_log", alerted("""SELECT CAST(make_timestamp(us) AS DATE) AS alert_date, count(*) AS n
   FROM alerts GROUP BY ALL"""))
 def alert_log(spark, sf):
-    return with_day(alerts(spark, sf)).groupBy("alert_date").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{job_folder(spark)}/log-{uuid.uuid4().hex}"
+    write_alert_log(alerts(spark, sf), path)
+    return spark.read.schema("alert_id string, alert_date date").json(path).groupBy("alert_date").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 @query("s4_stix_bundles", alerted("""SELECT alert_id, 'bundle--' || d[1:8] || '-' || d[9:12] || '-' || d[13:16] || '-'

@@ -1,5 +1,7 @@
 """Reading, parsing and normalizing lines; rule matching."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigilog.operators.labelled import rule_test_report, test_rules
@@ -10,6 +12,8 @@ from vigilog.operators.normalize import (
 from vigilog.operators.parse import decode_pri, parse_logs
 from vigilog.operators.rules import apply_rules, enrich_with_matches, match_rules
 from vigilog.sources.catalog import RULES
+from vigilog.session import job_folder
+from vigilog.sources import lines as sources
 from vigilog.sources.lines import frame_lines
 from workload.base import (
     REFERENCE_YEAR, ev, events, hits, log_lines, query, raw_events, table,
@@ -29,6 +33,17 @@ def read_logs(spark, sf):
     return rows.select(F.col("event_id").cast("string").alias("event_id"), "raw", "source_host")
 
 
+@query("s1_line_identity", ev("""SELECT log_source, 2 * count(*) AS lines, 2 * count(*) AS ids FROM ev GROUP BY 1"""))
+def identity(spark, sf):
+    """Files that hold every line twice, read back and parsed: as many events as lines."""
+    path = f"{job_folder(spark)}/lines-{uuid.uuid4().hex}"
+    raw = log_lines(spark, sf).select("raw")
+    raw.unionAll(raw).write.text(path)
+    found = parse_logs(sources.read_logs(spark, path), reference_year=REFERENCE_YEAR)
+    return found.groupBy("log_source").agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("event_id").alias("ids"))
+
+
 @query("p1_parse_logs", ev("""SELECT event_id, log_source, us, tz_offset_min, message FROM ev"""))
 def parse(spark, sf):
     return parsed(spark, sf).select(
