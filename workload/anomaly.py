@@ -1,5 +1,7 @@
 """Features, forest scores and what follows from them."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigilog.functions.features import feature_columns, features, local_clock, top_features
@@ -8,7 +10,7 @@ from vigilog.functions.net import port_bucket
 from vigilog.operators.forest import (
     anomaly_score, exact_quantiles, mean_vector, score_stats, without_false_positives,
 )
-from vigilog.values import FEATURE_NAMES
+from vigilog.values import ANOMALY_THRESHOLD, FEATURE_NAMES
 from workload.base import (
     ev, events, hits, model, query, rule_signals, score_signals, scored, stage, table,
 )
@@ -177,9 +179,9 @@ def kept(spark, sf):
 @query("m6_save_load")
 def stored_model(spark, sf):
     from vigilog.operators.forest import load_model, save_model, score
-    from vigilog.session import shared_folder
+    from vigilog.session import job_folder
 
-    path = f"{shared_folder(spark)}/model-{sf.strip('/').split('/')[-1]}"
+    path = f"{job_folder(spark)}/model-{uuid.uuid4().hex}"
     save_model(model(spark, sf), path)
     return score(events(spark, sf), load_model(spark, path)).select("event_id", "anomaly_score")
 
@@ -193,3 +195,49 @@ def retrained(spark, sf):
     every = events(spark, sf)
     new, taken = retrain_with_feedback(model(spark, sf), every, signals, wrong, every.count())
     return score(every, new).select("event_id", "anomaly_score", F.lit(taken).alias("taken"))
+
+
+# -- what must hold of a forest, whatever its trees -----------------------------------------------
+
+@query("m2_forest_bounds", "SELECT 100 AS trees, true AS bounded")
+def forest_bounds(spark, sf):
+    nodes = model(spark, sf).trees.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"))
+    return nodes.agg(F.count(F.lit(1)).alias("trees"), F.bool_and(F.col("nodes") <= 511).alias("bounded"))
+
+
+@query("m3_scores_hold", "SELECT count(*) AS events, count(DISTINCT event_id) AS ids, count(*) AS in_range FROM events")
+def scores_hold(spark, sf):
+    return scored(spark, sf).agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids"),
+        F.count_if(F.col("anomaly_score").between(0, 1)).alias("in_range"))
+
+
+@query("m4_flags_hold", "SELECT count(*) AS right_flags, count(*) AS right_tags FROM events")
+def flags_hold(spark, sf):
+    marks = F.array_contains("tags", "ml:anomalous") & F.array_contains(
+        "tags", F.concat(F.lit("ml:score:"), F.format_string("%.2f", "anomaly_score")))
+    flag = F.col("is_anomalous")
+    return scored(spark, sf).agg(
+        F.count_if(flag == (F.col("anomaly_score") >= ANOMALY_THRESHOLD)).alias("right_flags"),
+        F.count_if(flag == marks).alias("right_tags"))
+
+
+@query("m5_explanations_hold", "SELECT count(*) AS explained FROM events")
+def explanations_hold(spark, sf):
+    parts = F.col("top_features")
+    falling = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(parts, i)["deviation"] >= F.get(parts, i + 1)["deviation"])
+    return scored(spark, sf).agg(F.count_if((F.size(parts) == 5) & falling).alias("explained"))
+
+
+@query("l3_alerts_hold", "SELECT true AS one_each")
+def score_alerts_hold(spark, sf):
+    flagged_ids = scored(spark, sf).where("is_anomalous").select("event_id", F.lit(1).alias("a"))
+    both = flagged_ids.join(score_signals(spark, sf).groupBy("event_id").agg(F.count(F.lit(1)).alias("n")), "event_id", "full")
+    return both.agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(1) & F.col("n").eqNullSafe(1)), F.lit(True)).alias("one_each"))
+
+
+@query("m6_reload_holds", "SELECT count(*) AS same FROM events")
+def reload_holds(spark, sf):
+    again = stored_model(spark, sf).withColumnRenamed("anomaly_score", "again")
+    return scored(spark, sf).select("event_id", "anomaly_score").join(again, "event_id").agg(
+        F.count_if(F.col("anomaly_score") == F.col("again")).alias("same"))

@@ -8,6 +8,7 @@ from vigilog.operators import graph as G
 from vigilog.operators import incidents as I
 from vigilog.operators.enrich import enrich_as_of, enrich_by_network, enrich_ips
 from vigilog.operators.reports import source_map
+from vigilog.values import ABUSE_CATEGORIES
 from workload.base import SOURCE_IP, alerted, alerts, ev, events, query, stage, table
 
 PLACE_SQL = """places AS (SELECT (CASE WHEN c_custkey % 3 = 0 THEN '203.' ELSE '10.' END) || (c_custkey // 250)
@@ -116,15 +117,16 @@ def risk(spark, sf):
         F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") * 2)).alias("risk"))
 
 
-@query("x16_abuse_labels", """SELECT c_custkey, CASE WHEN c_custkey % 30 IN (18, 22) OR c_custkey % 30 NOT IN (14, 15, 16)
-  THEN 'Brute-Force,SSH' WHEN c_custkey % 30 = 14 THEN 'Brute-Force,Port Scan,SSH' WHEN c_custkey % 30 = 15
-  THEN 'Brute-Force,Hacking,SSH' ELSE 'Brute-Force,SQL Injection,SSH' END AS labels FROM customer
-  WHERE c_custkey % 7 <> 0 AND c_custkey % 30 NOT IN (3,4,5,7,9,10,11,19,20,21,23)""")
+_NAMED = "MAP {" + ", ".join(f"{k}: '{v}'" for k, v in ABUSE_CATEGORIES.items()) + "}"
+
+
+@query("x16_abuse_labels", f"""SELECT c_custkey, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(
+  [c_custkey % 30, 18, 22], lambda k: m[k]), lambda x: x IS NOT NULL))), ','), '') AS labels
+  FROM customer, (SELECT {_NAMED} AS m)""")
 def labels(spark, sf):
-    rows = table(spark, sf, "customer").where(
-        "c_custkey % 7 <> 0 and c_custkey % 30 not in (3,4,5,7,9,10,11,19,20,21,23)")
     reports = F.expr("array(array(cast(c_custkey % 30 as int), 18), array(22))")
-    return rows.select("c_custkey", F.array_join(abuse_labels(reports), ",").alias("labels"))
+    return table(spark, sf, "customer").select(
+        "c_custkey", F.array_join(abuse_labels(reports), ",").alias("labels"))
 
 
 @query("x17_tactic_split", alerted("""SELECT trim(t) AS tactic, count(*) AS n FROM (SELECT unnest(string_split(mitre_tactic, '→'))

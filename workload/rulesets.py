@@ -211,9 +211,14 @@ def quality_summary(spark, sf):
     return Q.quality_summary(quality(spark, sf))
 
 
-@query("t4_rules_by_quality", sql("""SELECT rule_id, maintenance_score FROM quality ORDER BY maintenance_score, rule_id"""))
+@query("t4_rules_by_quality", sql("""SELECT rule_id, maintenance_score, row_number() OVER (ORDER BY maintenance_score, rule_id) AS position FROM quality"""))
 def sorted_quality(spark, sf):
-    return Q.sort_quality(quality(spark, sf)).select("rule_id", "maintenance_score")
+    from pyspark.sql.window import Window
+
+    # the position follows the order that the operator left; a rule table is small
+    ordered = Q.sort_quality(quality(spark, sf)).select(
+        "rule_id", "maintenance_score", F.monotonically_increasing_id().alias("_at"))
+    return ordered.withColumn("position", F.row_number().over(Window.orderBy("_at"))).drop("_at")
 
 
 @query("j8_overlapping_sets", sql("""SELECT least(sa, sb) AS set_a, greatest(sa, sb) AS set_b,
