@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigilog.operators.dedup import dedup_gap, throttle
 from vigilog.operators.hotkeys import time_pieces
@@ -91,3 +92,15 @@ def test_retain_newest(spark):
     for n in (1, 99, 499, 500, 900):
         got = {r.id for r in retain_newest(df, n, "us", ["id"], slot_seconds=100).collect()}
         assert got == {i for _, i in newest[:n]}
+
+
+def test_a_burst_is_cut_into_bounded_pieces(spark):
+    """All rows of a key within one slot: no piece much above the limit, and windows stay exact."""
+    df = spark.range(6000).selectExpr("0 as k", "id * 7000 as us", "id")
+    cut = time_pieces(df, ["k"], "us", look_back=50, rows_per_piece=500)
+    sizes = [r["count"] for r in cut.groupBy("_piece").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 500 + 50 + 1
+    assert cut.where("_own").count() == 6000 and cut.where("_own").select("id").distinct().count() == 6000
+    before = Window.partitionBy("k", "_piece").orderBy("us", "id")
+    back = cut.withColumn("b", F.lag("id", 50).over(before)).where("_own and id >= 50")
+    assert back.where("b = id - 50").count() == 5950
