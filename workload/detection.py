@@ -19,7 +19,7 @@ from vigilog.operators.sequence import match_sequences, step_matches, window_row
 from vigilog.session import job_folder
 from vigilog.sources.catalog import CHAINS
 from vigilog.sources.events import (
-    event_count, read_events, recent_events, retain_newest, search_events, write_events,
+    event_count, read_events, recent_events, retain_newest, search_events, store_rows, write_events,
 )
 from vigilog.sources.sinks import stix_bundles, write_alert_log
 from workload.base import (
