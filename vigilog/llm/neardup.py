@@ -25,12 +25,13 @@ from pyspark.sql import types as T
 from vigilog.llm.common import checkpointed, prepare, query, table, utf8, whole_text
 from vigilog.llm.components import components
 
-WIDTH = 128         # minwise tokens of a set
+WIDTH = 128         # minwise tokens of a set that trees branch on
+SHOWN = 384         # tokens, of which one byte is kept, that similarities are estimated by
 TREES = 20          # independent trees
 START_DEPTH = 2     # levels a tree is branched before nodes are looked at
 SMALL = 4_096       # documents of a node that are compared exhaustively
-TINY = 40           # up to here by a join, above in one task, as a matrix
-SLACK = 0.15        # pairs whose tokens agree less than threshold - SLACK are no candidates
+FIRST_PARTNERS = 2  # of a document that are confirmed first, then four times as many, until all are
+SLACK = 0.085       # pairs whose tokens agree less than threshold - SLACK are no candidates
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,17 +72,17 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_601)
-    return (rng.integers(1 << 32, size=WIDTH, dtype=np.uint32) | np.uint32(1),
-            rng.integers(1 << 32, size=WIDTH, dtype=np.uint32))
+    return (rng.integers(1 << 32, size=SHOWN, dtype=np.uint32) | np.uint32(1),
+            rng.integers(1 << 32, size=SHOWN, dtype=np.uint32))
 
 
 def tokens(hashes: np.ndarray) -> np.ndarray:
-    """The WIDTH minwise tokens of a set that is not empty."""
+    """The SHOWN minwise tokens of a set that is not empty."""
     a, b = _permutations()
     low = hashes.astype(np.uint32)
-    out = np.full(WIDTH, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(low), 2048):
-        out = np.minimum(out, (low[at:at + 2048, None] * a + b).min(0))
+    out = np.full(SHOWN, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(low), 512):
+        out = np.minimum(out, (low[at:at + 512, None] * a + b).min(0))
     return out
 
 
@@ -102,7 +103,7 @@ def paths(threshold: float) -> list[tuple[int, list[int]]]:
 def _embed(size: int):
     def embed(batches):
         for batch in batches:
-            ids, ns, high, low, sigs = [], [], [], [], []
+            ids, ns, high, low, sigs, briefs = [], [], [], [], [], []
             for d, text in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
                 h = shingles(text, size)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
@@ -110,11 +111,13 @@ def _embed(size: int):
                 ns.append(len(h))
                 high.append(int.from_bytes(digest[:8], "big", signed=True))
                 low.append(int.from_bytes(digest[8:], "big", signed=True))
-                sigs.append(tokens(h).tobytes() if len(h) else None)
+                own = tokens(h) if len(h) else None
+                sigs.append(None if own is None else own[:WIDTH].tobytes())
+                briefs.append(None if own is None else own.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(ns, pa.int64()),
                 "high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64()),
-                "sig": pa.array(sigs, pa.binary())})
+                "sig": pa.array(sigs, pa.binary()), "brief": pa.array(briefs, pa.binary())})
 
     return embed
 
@@ -155,12 +158,6 @@ def _matrix(sigs) -> np.ndarray:
     return np.frombuffer(raw, np.uint32).reshape(-1, WIDTH).astype(np.uint64)
 
 
-@F.arrow_udf(T.BinaryType())
-def _brief(sigs: pa.Array) -> pa.Array:
-    """The lowest byte of each token: enough to estimate a similarity."""
-    return pa.array([s[::4] for s in sigs.to_pylist()], pa.binary())
-
-
 @F.arrow_udf(T.DoubleType())
 def _agreement(left: pa.Array, right: pa.Array) -> pa.Array:
     a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) for x in (left, right))
@@ -168,22 +165,24 @@ def _agreement(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((same - 1 / 256) / (1 - 1 / 256))
 
 
-def _within(percent: int):
-    """The likely pairs of a node's documents that are not known to be connected."""
+def _within(percent: int, best: int):
+    """For each of a node's documents its ``best`` likeliest partners that it is not known to be
+    connected with; ``more``: it has others."""
     def within(rows: pa.Table) -> pa.Table:
         v, label, n = (np.asarray(rows[c]) for c in ("v", "label", "n"))
         sig = np.frombuffer(b"".join(rows["s"].to_pylist()), np.uint8).reshape(len(v), -1)
-        a, b, likely = [], [], []
-        for i in range(len(v) - 1):
-            later = np.flatnonzero((label[i + 1:] != label[i]) & (
-                100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:]))) + i + 1
-            same = ((sig[later] == sig[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
-            near = same >= percent / 100 - SLACK
-            a.append(np.full(near.sum(), v[i]))
-            b.append(v[later[near]])
-            likely.append(same[near])
+        a, b, more = [], [], []
+        for i in range(len(v)):
+            other = np.flatnonzero((label != label[i]) & (
+                100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)))
+            same = ((sig[other] == sig[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
+            likely = np.flatnonzero(same >= percent / 100 - SLACK)
+            chosen = likely[np.lexsort((v[other[likely]], -same[likely]))[:best]]
+            a.append(np.minimum(v[i], v[other[chosen]]))
+            b.append(np.maximum(v[i], v[other[chosen]]))
+            more.append(np.full(len(chosen), len(likely) > best))
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()),
-                         "agreement": pa.array(np.concatenate(likely), pa.float64())})
+                         "more": pa.array(np.concatenate(more), pa.bool_())})
 
     return within
 
@@ -265,16 +264,17 @@ class _Search:
             best = stars.groupBy("a").agg(F.max(F.struct("agreement", "b")).alias("best"))
             self.confirm(best.select("a", F.col("best.b").alias("b")))
         self.confirm(self.apart(stars))
-        marked = self.labelled(live, "v", "label")
-        mixed = marked.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        open_ = checkpointed(marked.join(mixed.select("node"), "node"))
-        tiny = open_.where(F.col("n") <= TINY).select("node", "v", "label")
-        other = tiny.select("node", F.col("v").alias("b"), F.col("label").alias("lb"))
-        pairs = self.likely(tiny.withColumnRenamed("v", "a").join(other, "node").where("label < lb").select("a", "b"))
-        wider = (open_.where((F.col("n") > TINY) & (F.col("n") <= SMALL)).select("node", "v", "label")
-                 .join(self.bytes, "v").groupBy("node").applyInArrow(
-                     _within(self.percent), "a bigint, b bigint, agreement double"))
-        self.confirm(checkpointed(pairs.union(wider).select("a", "b").distinct()))
+        best, more, tried = FIRST_PARTNERS, True, None
+        while more:  # the most similar partners connect most; what is connected needs no others
+            marked = self.labelled(live, "v", "label")
+            mixed = marked.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+            open_ = checkpointed(marked.join(mixed.select("node"), "node"))
+            pairs = checkpointed(open_.where(F.col("n") <= SMALL).select("node", "v", "label").join(self.bytes, "v")
+                                 .groupBy("node").applyInArrow(_within(self.percent, best), "a bigint, b bigint, more boolean")
+                                 .groupBy("a", "b").agg(F.max("more").alias("more")))
+            more = not pairs.where("more").isEmpty()
+            self.confirm(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            best, tried = best * 4, pairs.select("a", "b")
         return open_.where(F.col("n") > SMALL).select("node", "v")
 
 
@@ -290,11 +290,11 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     sets = checkpointed(docs.mapInArrow(
-        _embed(size), "doc_id bigint, n_shingles bigint, high bigint, low bigint, sig binary"))
+        _embed(size), "doc_id bigint, n_shingles bigint, high bigint, low bigint, sig binary, brief binary"))
     classes = checkpointed(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low")
-        .agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-        .withColumn("brief", _brief("sig")))
+        .agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"),
+             F.first("brief").alias("brief")))
     search = _Search(docs, classes, size, percent)
     rows, first = classes.select("v", "sig").mapInArrow(_roots(threshold), "node bigint, v bigint"), True
     while True:
