@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from vigilog.llm.common import query, table, whole_text, without
 
-PIECES_KEPT = 200_000
-PAIRS_KEPT = 1_000_000
+PIECES_KEPT = 100_000
+PAIRS_KEPT = 200_000
 LONGEST_KEPT = 64
 
 

@@ -35,7 +35,7 @@ def words_of(text: str) -> list[str]:
 
 class Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode())
         return value

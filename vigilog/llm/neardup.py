@@ -44,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

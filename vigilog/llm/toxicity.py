@@ -54,7 +54,7 @@ class Known(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.evidence[s] for s in signs(word) if s in self.evidence)
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found
         return found
