@@ -4,6 +4,10 @@ Every line is hashed, and a rolling hash over the last two line hashes decides w
 ends there. A boundary depends on two lines only, so a passage is cut in the same way wherever it
 stands, whatever was put before it. Chunks of several lines that stand more than once, compared
 byte by byte, are removed everywhere but at their first place (smallest doc_id, then position).
+
+A chunk that holds a foreign line does not repeat, so most passages inside otherwise different
+documents stay. ``dedup_runs`` takes every run of two lines as a chunk of its own: both ends
+are lines of the run, and no repeated passage of two lines or more stays, wherever it stands.
 """
 
 import hashlib
@@ -41,69 +45,113 @@ def passages(text: str):
             yield number, "\n".join(lines[a:b])
 
 
+def runs(lines: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of two lines that are not empty, with the empty lines between them."""
+    filled = [i for i, line in enumerate(lines) if line]
+    return [(a, b + 1) for a, b in zip(filled, filled[1:])]
+
+
+def pairs(text: str):
+    """(first line, body) of the runs."""
+    lines = text.split("\n")
+    for a, b in runs(lines):
+        yield a, "\n".join(lines[a:b])
+
+
 def _digest(body: str) -> int:
     return xxhash.xxh3_64_intdigest(body.encode()) - (1 << 63)
 
 
-def _places(batches):
-    for batch in batches:
-        rows = [(d, n, _digest(body)) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(),
-                                                        strict=True) for n, body in passages(text)]
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array([r[0] for r in rows], pa.int64()), "place": pa.array([r[1] for r in rows], pa.int32()),
-            "digest": pa.array([r[2] for r in rows], pa.int64())})
+def _places(parts):
+    def places(batches):
+        for batch in batches:
+            rows = [(d, n, _digest(body)) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(),
+                                                            strict=True) for n, body in parts(text)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([r[0] for r in rows], pa.int64()), "place": pa.array([r[1] for r in rows], pa.int32()),
+                "digest": pa.array([r[2] for r in rows], pa.int64())})
 
+    return places
 
-def _bodies(batches):
+
+def _bodies(parts):
     """The texts of the chunks that may repeat."""
-    for batch in batches:
-        rows = []
-        for d, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-            wanted = {(p["place"], p["digest"]) for p in places}
-            rows += [(d, n, body) for n, body in passages(text) if (n, _digest(body)) in wanted]
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array([r[0] for r in rows], pa.int64()), "place": pa.array([r[1] for r in rows], pa.int32()),
-            "digest": pa.array([_digest(r[2]) for r in rows], pa.int64()),
-            "body": pa.array([r[2] for r in rows], pa.string())})
+    def bodies(batches):
+        for batch in batches:
+            rows = []
+            for d, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
+                wanted = {(p["place"], p["digest"]) for p in places}
+                rows += [(d, n, body) for n, body in parts(text) if (n, _digest(body)) in wanted]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([r[0] for r in rows], pa.int64()), "place": pa.array([r[1] for r in rows], pa.int32()),
+                "digest": pa.array([_digest(r[2]) for r in rows], pa.int64()),
+                "body": pa.array([r[2] for r in rows], pa.string())})
+
+    return bodies
 
 
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.IntegerType()),
                      T.StructField("removed", T.IntegerType())])
 
 
-@F.arrow_udf(_CUT)
-def _cut(texts: pa.Array, places: pa.Array) -> pa.Array:
-    out = []
-    for text, own in zip(texts.to_pylist(), places.to_pylist(), strict=True):
-        lines = text.split("\n")
-        gone = {(p["place"], p["digest"]) for p in later(own, "digest")}
-        if gone:
-            bodies = dict(passages(text))
-            kept = [line for n, (a, b) in enumerate(chunks(lines))
-                    if n not in bodies or (n, _digest(bodies[n])) not in gone for line in lines[a:b]]
-            out.append({"text": "\n".join(kept), "lines": len(lines), "removed": len(lines) - len(kept)})
-        else:
-            out.append({"text": text, "lines": len(lines), "removed": 0})
-    return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int32()), ("removed", pa.int32())]))
+def _cutter(spans, parts):
+    """``spans``: (place, start, end) of a text's parts."""
+    @F.arrow_udf(_CUT)
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), places.to_pylist(), strict=True):
+            lines = text.split("\n")
+            gone = {(p["place"], p["digest"]) for p in later(own, "digest")}
+            if gone:
+                bodies = dict(parts(text))
+                lost = {i for n, a, b in spans(lines) if n in bodies and (n, _digest(bodies[n])) in gone
+                        for i in range(a, b)}
+                kept = [line for i, line in enumerate(lines) if i not in lost]
+                out.append({"text": "\n".join(kept), "lines": len(lines), "removed": len(lost)})
+            else:
+                out.append({"text": text, "lines": len(lines), "removed": 0})
+        return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int32()), ("removed", pa.int32())]))
+
+    return cut
+
+
+def _numbered_chunks(lines: list[str]):
+    return [(n, a, b) for n, (a, b) in enumerate(chunks(lines))]
+
+
+def _placed_runs(lines: list[str]):
+    return [(a, a, b) for a, b in runs(lines)]
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages removed from ``text``; adds ``n_lines`` and ``n_removed``.
+    """``docs`` with repeated chunks removed from ``text``; adds ``n_lines`` and ``n_removed``.
 
     Null texts become empty ones. Rows with a null id take no part and stay as they are. Rows that
     repeat an id stand for one document: equal ones keep and lose the same lines. Columns named
     like the added ones are replaced.
     """
+    return _dedup(docs, _numbered_chunks, passages)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """``dedup_lines`` by runs of two lines: every line of a run that stands earlier is removed.
+
+    The first place of every line stays.
+    """
+    return _dedup(docs, _placed_runs, pairs)
+
+
+def _dedup(docs: DataFrame, spans, parts) -> DataFrame:
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    places = checkpointed(ids.mapInArrow(_places, "doc_id bigint, place int, digest bigint"))
+    places = checkpointed(ids.mapInArrow(_places(parts), "doc_id bigint, place int, digest bigint"))
     maybe = repeated(places, ["digest"], ["digest"])
     bodies = checkpointed(ids.join(maybe, "doc_id").mapInArrow(
-        _bodies, "doc_id bigint, place int, digest bigint, body string"))
+        _bodies(parts), "doc_id bigint, place int, digest bigint, body string"))
     gone = repeated(bodies, ["digest", "body"], ["digest"]).select(
         F.col("doc_id").alias("_id"), F.col("places").alias("_places"))
     rest = without(docs, ["n_lines", "n_removed", "_cut", "_id", "_places"])
     cut = rest.join(gone, rest["doc_id"] == F.col("_id"), "left").withColumn(
-        "_cut", _cut(whole_text(), F.col("_places")))
+        "_cut", _cutter(spans, parts)(whole_text(), F.col("_places")))
     return cut.select(*[F.col("_cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in rest.columns],
                       F.col("_cut.lines").alias("n_lines"), F.col("_cut.removed").alias("n_removed"))
 
@@ -127,3 +175,20 @@ FROM numbered LEFT JOIN gone g USING (doc_id, chunk) GROUP BY doc_id""")
 def op3_line_chunks(spark, sf):
     out = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_line_runs", """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l),
+ends AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines WHERE line <> ''),
+bodies AS (SELECT doc_id, i, j, list_aggregate(l[i:j], 'string_agg', chr(10)) AS body
+  FROM ends JOIN l USING (doc_id) WHERE j IS NOT NULL),
+later AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (
+  PARTITION BY body ORDER BY doc_id, i) AS k FROM bodies) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later)
+SELECT doc_id, count(*)::INT AS n_lines, count(g.i)::INT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id""")
+def op3_line_runs(spark, sf):
+    out = dedup_runs(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
