@@ -138,16 +138,19 @@ def _roots(threshold: float):
 
 
 def _children(threshold: float):
-    """(node, v) rows of the next level: what a node chooses follows from its key alone."""
+    """(node, v) rows of the next level: what a node chooses, one token at least, follows from its
+    key alone. With none for some, a pair at the threshold would be lost the deeper, the likelier."""
     def children(batches):
         for batch in batches:
             sig, v = _matrix(batch["sig"]), np.asarray(batch["v"])
             node = np.asarray(batch["node"]).view(np.uint64)
             below = np.uint64(int((1 << 64) / (threshold * WIDTH)))
+            own = _mix(node[:, None] + _mix(np.arange(1, WIDTH + 1, dtype=np.uint64)))
+            chosen = own < below
+            chosen[np.arange(len(v)), own.argmin(1)] = True
             for c in range(WIDTH):
-                own = _mix(node + _mix(np.full(1, c + 1, np.uint64)))
-                goes = np.flatnonzero(own < below)
-                key = _mix(_mix(own[goes] * _MIX1 + np.uint64(c)) + sig[goes, c])
+                goes = np.flatnonzero(chosen[:, c])
+                key = _mix(_mix(own[goes, c] * _MIX1 + np.uint64(c)) + sig[goes, c])
                 yield pa.RecordBatch.from_pydict({"node": pa.array(key.view(np.int64)), "v": pa.array(v[goes])})
 
     return children
