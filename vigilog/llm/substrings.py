@@ -147,7 +147,7 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         ahead = open_ + reach
-        later = np.where(ahead < n, ranks[np.minimum(ahead, n - 1)] + 1, 0)
+        later = np.where(ahead < n, ranks[np.minimum(ahead, n - 1)] + 1, n - ahead)  # past the end: the shorter first
         before = ranks[open_]
         turn = np.lexsort((later, before))
         open_, later, before = open_[turn], later[turn], before[turn]
