@@ -44,14 +44,14 @@ class Hashes(dict):
 _HASHES = Hashes()  # of a Python worker, over all its batches
 
 
-def seed_hashes(words: list[str], hashes: Hashes) -> np.ndarray:
-    """A hash of every run of SHORTEST words."""
-    if len(words) < SHORTEST:
+def seed_hashes(words: list[str], hashes: Hashes, size: int = SHORTEST) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    if len(words) < size:
         return np.empty(0, np.uint64)
     h = np.array([hashes[w] for w in words], np.uint64)
-    n = len(h) - SHORTEST + 1
+    n = len(h) - size + 1
     out = h[:n].copy()
-    for k in range(1, SHORTEST):
+    for k in range(1, size):
         out = out * np.uint64(_BASE) + h[k:k + n]
     return out
 
@@ -116,12 +116,26 @@ def tiles(item: list[str], doc: list[str | None], hashes: Hashes,
 
 
 class Block:
-    """Some items with the seeds they hold."""
+    """Some items; those of fewer than SHORTEST words have seeds and tiles of their own length."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.items = items
+    def __init__(self, items: list[tuple[int | None, list[str]]]):
+        by_size = defaultdict(list)
+        for item in items:
+            by_size[min(SHORTEST, len(item[1]))].append(item)
+        self.parts = [_Seeded(own, size) for size, own in sorted(by_size.items()) if size]
+
+    def leaks(self, text: str, hashes: Hashes, coverage: float) -> list[dict]:
+        words = words_of(text)
+        return [x for part in self.parts for x in part.leaks(words, hashes, coverage)]
+
+
+class _Seeded:
+    """Some items with the seeds of ``size`` words they hold."""
+
+    def __init__(self, items: list[tuple[int | None, list[str]]], size: int):
+        self.items, self.size = items, size
         hashes = Hashes()
-        seeds = [np.unique(seed_hashes(words, hashes)) for _, words in items]
+        seeds = [np.unique(seed_hashes(words, hashes, size)) for _, words in items]
         owner = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
         every = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(every, kind="stable")
@@ -129,9 +143,8 @@ class Block:
         self.seeds, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every))
 
-    def leaks(self, text: str, hashes: Hashes, coverage: float) -> list[dict]:
-        words = words_of(text)
-        own = seed_hashes(words, hashes)
+    def leaks(self, words: list[str], hashes: Hashes, coverage: float) -> list[dict]:
+        own = seed_hashes(words, hashes, self.size)
         if not len(own) or not len(self.seeds):
             return []
         slot = np.minimum(np.searchsorted(self.seeds, own), len(self.seeds) - 1)
@@ -145,10 +158,10 @@ class Block:
         out = []
         for k, n in zip(*np.unique(owners, return_counts=True), strict=True):
             item_id, item = self.items[k]
-            if n * SHORTEST < coverage * len(item):
+            if n * self.size < coverage * len(item):
                 continue  # so few seeds cannot cover it
-            excerpt = _excerpt(words, at[owners == k])
-            found = tiles(item, excerpt[0], hashes)
+            excerpt = _excerpt(words, at[owners == k], self.size)
+            found = tiles(item, excerpt[0], hashes, self.size)
             covered = sum(t[2] for t in found) / len(item)
             if covered >= coverage:
                 out.append({"item_id": item_id, "coverage": covered, "tiles": [
@@ -156,9 +169,9 @@ class Block:
         return out
 
 
-def _excerpt(words: list[str], starts: np.ndarray) -> tuple[list[str | None], list[int]]:
+def _excerpt(words: list[str], starts: np.ndarray, size: int) -> tuple[list[str | None], list[int]]:
     """The seeded words, gaps as None, and where each stands in the document."""
-    keep = np.unique(starts[:, None] + np.arange(SHORTEST))
+    keep = np.unique(starts[:, None] + np.arange(size))
     out: list[str | None] = []
     places: list[int] = []
     last = -1
@@ -173,13 +186,14 @@ def _excerpt(words: list[str], starts: np.ndarray) -> tuple[list[str | None], li
 
 
 def _blocks(benchmark: DataFrame):
-    """The items, a bounded number of words at a time. Items without SHORTEST words take no part."""
+    """The items, a bounded number of words at a time. Items without words take no part; a null id is
+    left out where the same text has an id."""
     held, size = [], 0
-    rows = (benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-            .groupBy("item_id", "text").count().orderBy("item_id", "text"))
+    rows = (benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.collect_set("item_id").alias("ids"))
+            .select(F.explode_outer("ids").alias("item_id"), "text").orderBy("item_id", "text"))
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
-        if len(words) < SHORTEST:
+        if not words:
             continue
         if held and size + len(words) > BLOCK_WORDS:
             yield Block(held)
