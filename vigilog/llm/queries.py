@@ -1,7 +1,19 @@
 """All queries of this folder; importing it registers them."""
 
 import corpus_pipeline
-from vigilog.llm import bpe, leaks, likelihood, lines, nearest, neardup, quality, spans, substrings, toxicity  # noqa: F401
+from vigilog.llm import (  # noqa: F401
+    bpe,
+    leaks,
+    likelihood,
+    lines,
+    nearest,
+    neardup,
+    quality,
+    spans,
+    substrings,
+    toxicity,
+    wordbpe,
+)
 from vigilog.llm.common import QUERIES, SQL  # noqa: F401
 
 QUERIES["pipeline"] = corpus_pipeline.run
