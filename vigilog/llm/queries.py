@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from vigilog.llm import (  # noqa: F401
+    audit,
     bpe,
     leaks,
     likelihood,
