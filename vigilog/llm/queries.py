@@ -10,6 +10,7 @@ from vigilog.llm import (  # noqa: F401
     nearest,
     neardup,
     quality,
+    ranked,
     spans,
     substrings,
     toxicity,
