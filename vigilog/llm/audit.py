@@ -113,7 +113,8 @@ def failures(docs: DataFrame, rules: dict[str, Callable[[Column], Column]] = RUL
     rows = checkpointed(_perhaps_repeated(docs, counters).select(
         "doc_id", "part", mask.cast("int").alias("mask"), F.when(F.col("again"), F.col("text")).alias("text")))
     perhaps = rows.where("text is not null")
-    first = perhaps.groupBy("text").agg(F.min("doc_id").alias("first"))
+    # written, so that both sides of the join are shuffled for it alone and Spark splits a hot text
+    first = checkpointed(perhaps.groupBy("text").agg(F.min("doc_id").alias("first")))
     later = F.when(F.col("doc_id") > F.col("first"), 1 << len(rules)).otherwise(0)
     return rows.where("text is null").drop("text").unionByName(
         perhaps.join(first, "text").select("doc_id", "part", F.col("mask").bitwiseOR(later).alias("mask")))
