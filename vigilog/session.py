@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # a JSON line may repeat a key: the last value counts
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # list state and timers of streams
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -1,9 +1,7 @@
 """Detection on streams: the batch functions, and state per source and per fingerprint."""
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vigilog.operators.alerts import alerts_from_matches, merge_alerts, with_alert_id
 from vigilog.operators.normalize import normalize, source_key
@@ -16,6 +14,7 @@ from vigilog.sources.catalog import CHAINS, techniques_table
 from vigilog.sources.events import write_events
 from vigilog.sources.rules import file_snapshot, load_rule_set, read_rules, rule_matchers, rules_changed
 from vigilog.sources.sinks import write_alert_log, write_stix_bundles
+from vigilog.streaming.ordered import ALERT_SCHEMA, FIRE_SCHEMA, AlertProcessor, SequenceProcessor
 from vigilog.values import DEDUP_SECONDS, WINDOW_CAP
 
 LATE = "10 minutes"
@@ -38,66 +37,14 @@ def stream_events(lines: DataFrame, rules: list[dict], late: str = LATE, once: b
 
 # -- sequences -------------------------------------------------------------------------------
 
-FIRE_SCHEMA = ("chain_id string, source_key string, us bigint, event_id string, first_us bigint, "
-               "step_events array<string>")
-WINDOW_STATE = "times array<bigint>, ids array<string>, masks array<array<bigint>>, fired array<bigint>"
-NEVER = -(2**62)
-
-
-def _window_fires(spec: list[tuple], cap: int, lock: int, keep: int):
-    """Sequence state of one source: its newest rows and when each chain last fired.
-
-    ``spec`` is (chain id, window in microseconds, number of steps); a row's mask of a chain has a
-    bit for each step that it is. State is kept for ``keep``: as long as a window may reach back
-    or a lockout lasts.
-    """
-    widest = max(width for _, width, _ in spec)
-
-    def advance(key, batches, state):
-        fresh = pd.concat(list(batches))[["us", "event_id", "masks"]] if not state.hasTimedOut \
-            else None
-        if fresh is None:
-            state.remove()
-            return
-        times, ids, masks, fired = state.get if state.exists else ([], [], [], [NEVER] * len(spec))
-        rows = [(t, i, m, False) for t, i, m in zip(times, ids, masks)]
-        rows += [(int(t), i, [int(x) for x in m], True) for t, i, m in fresh.itertuples(index=False)]
-        rows.sort(key=lambda r: r[:2])
-        fired, out = list(fired), []
-        for c, (chain_id, width, steps) in enumerate(spec):
-            starts = [None] * steps  # row where the latest completed prefix began
-            for at, (us, event_id, masks_, is_new) in enumerate(rows):
-                for s in range(steps - 1, -1, -1):
-                    if masks_[c] >> s & 1:
-                        begin = at if s == 0 else starts[s - 1]
-                        if begin is not None and (starts[s] is None or begin > starts[s]):
-                            starts[s] = begin
-                begin = starts[-1]
-                if not is_new or begin is None or us - fired[c] < lock:
-                    continue
-                if rows[begin][0] < us - width or at - begin > cap - 1:
-                    continue
-                window = [r for r in rows[max(0, at - cap + 1):at + 1] if r[0] >= us - width]
-                taken = []
-                for r in window:
-                    if len(taken) < steps and r[2][c] >> len(taken) & 1:
-                        taken.append(r[1])
-                fired[c] = us
-                out.append((chain_id, key[0], us, event_id, window[0][0], taken))
-        newest = rows[-1][0]
-        rows = [r for r in rows[-cap:] if r[0] >= newest - widest]
-        state.update(([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], fired))
-        state.setTimeoutTimestamp(max(newest // 1000 + keep // 1000,
-                                      state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FIRE_SCHEMA.split(", ")])
-
-    return advance
-
-
 def stream_sequences(events: DataFrame, chains=CHAINS, cap: int = WINDOW_CAP,
                      lock_seconds: float = DEDUP_SECONDS) -> DataFrame:
-    """Fires of attack chains as events arrive; the state of a silent source expires when neither
-    a window nor a lockout can reach back to it."""
+    """Fires of attack chains, as in a batch, of the events that the watermark has passed.
+
+    An event that the watermark lets in is never too late for a window, in whatever micro-batch
+    it comes. The state of a silent source expires when neither a window nor a lockout can reach
+    back to it.
+    """
     spec, masks = [], []
     for chain_id, seconds, steps in chain_steps(chains):
         spec.append((chain_id, int(seconds * 1_000_000), len(steps)))
@@ -105,42 +52,35 @@ def stream_sequences(events: DataFrame, chains=CHAINS, cap: int = WINDOW_CAP,
         for bit, step in enumerate(steps):  # bits of one chain: its own number of steps is the limit
             mask = mask + F.when(step, F.lit(1 << bit).cast("bigint")).otherwise(0)
         masks.append(mask)
-    lock = int(lock_seconds * 1_000_000)
-    keep = max(lock, *(width for _, width, _ in spec))
     rows = events.select("source_key", "us", "event_id", "timestamp", F.array(*masks).alias("masks"))
-    return rows.groupBy("source_key").applyInPandasWithState(
-        _window_fires(spec, cap, lock, keep), FIRE_SCHEMA, WINDOW_STATE,
-        "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("source_key").transformWithStateInPandas(
+        SequenceProcessor(spec, cap, int(lock_seconds * 1_000_000)), FIRE_SCHEMA, "append", "eventTime")
 
 
 # -- alerts ----------------------------------------------------------------------------------
 
-def _first_hits(columns: list[str], gap: int):
-    def advance(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else NEVER
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        fresh = []
-        for us in rows["us"]:
-            fresh.append(us - last >= gap)
-            last = max(last, us)
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last) // 1000 + gap // 1000,
-                                      state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[fresh, columns]
-
-    return advance
+EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def stream_alerts(signals: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
+    """Merged hits of each fingerprint, as in a batch: the columns of its first hit, ``status``,
+    ``hit_count``, ``first_us`` and ``last_us``.
+
+    An alert has a row of status ``first`` when its first hit is sure, and one of status ``closed``,
+    with the final figures, when the watermark has passed its last hit by ``seconds``. Needs
+    ``fingerprint``, ``us``, ``event_id`` and a watermark on ``timestamp``.
+    """
+    rows = signals.select("fingerprint", "us", "event_id", "timestamp",
+                          F.to_json(F.struct(*signals.columns), EXACT_TIMES).alias("row"))
+    merged = rows.groupBy("fingerprint").transformWithStateInPandas(
+        AlertProcessor(seconds * 1_000_000), ALERT_SCHEMA, "append", "eventTime")
+    return merged.withColumn("row", F.from_json("row", signals.schema, EXACT_TIMES)).select(
+        "row.*", "status", "hit_count", "first_us", "last_us")
 
 
 def stream_first_alerts(signals: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
-    """The first hit of each fingerprint; further hits within ``seconds`` of the previous one
-    are merged into it. Needs ``fingerprint``, ``us``, ``event_id`` and a watermark."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in signals.dtypes)
-    return signals.groupBy("fingerprint").applyInPandasWithState(
-        _first_hits(signals.columns, seconds * 1_000_000), schema, "last bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    """The first hit of each alert of ``stream_alerts``."""
+    return stream_alerts(signals, seconds).where("status = 'first'").select(signals.columns)
 
 
 def live_counts(events: DataFrame, seconds: int = 2) -> DataFrame:

@@ -5,11 +5,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vigilog.session import shared_folder
+from vigilog.session import checkpointed, shared_folder
 from vigilog.sources.catalog import RULES
 from vigilog.sources.lines import stream_logs
 from vigilog.streaming.detect import (
-    RuleFolder, live_counts, stream_events, stream_first_alerts, stream_sequences, write_batch,
+    RuleFolder, live_counts, stream_alerts, stream_events, stream_sequences, write_batch,
 )
 from workload.base import (
     LOCK_SECONDS, LONG_CHAINS, REFERENCE_YEAR, events, ev, fired, hits, log_lines, query,
@@ -36,6 +36,28 @@ def as_stream(df):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+MICRO_BATCHES = 4
+LATE_HOURS = 20  # rows arrive up to so much later than they happened
+
+
+def arriving(df, key, after):
+    """All rows as a stream of several micro-batches, many of them late and out of order; a last row
+    of another ``key``, ``after`` seconds past the others, moves the watermark past all of them."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(LATE_HOURS * 3600)) * 1_000_000
+    rows = checkpointed(df.withColumn("_arrival", F.col("us") + delay))
+    ends = rows.agg(F.min("_arrival"), F.max("_arrival"), F.max("us")).first()
+    width = (ends[1] - ends[0]) // MICRO_BATCHES + 1
+    for k in range(MICRO_BATCHES):  # files are read in the order in which they were written
+        low = ends[0] + k * width
+        rows.where(F.col("_arrival").between(low, low + width - 1)).drop("_arrival").coalesce(1).write.mode("append").parquet(path)
+    end = ends[2] + (LATE_HOURS * 3600 + 86400 + after) * 1_000_000
+    rows.drop("_arrival").limit(1).withColumns({
+        key: F.lit("end"), "us": F.lit(end), "timestamp": F.timestamp_micros(F.lit(end)), "event_id": F.lit("end")}).write.mode(
+        "append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("timestamp", "1 day")
+
+
 def line_stream(spark, sf):
     lines = stage(spark, sf, "raw_lines", lambda: log_lines(spark, sf))
     return as_stream(lines)
@@ -56,36 +78,46 @@ def detect(spark, sf):
         F.explode("sigma_matches").alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
 
 
+KEPT_SECONDS = max(LOCK_SECONDS, *(c["window_seconds"] for c in LONG_CHAINS))
+
+
+def streamed_fires(spark, sf):
+    """Fires of the chains over several micro-batches with late rows and expiring state."""
+    return stage(spark, sf, "streamed_fires", lambda: drained(stream_sequences(
+        arriving(events(spark, sf), "source_key", KEPT_SECONDS), LONG_CHAINS, lock_seconds=LOCK_SECONDS), spark))
+
+
 @query("r2_streaming_sequences", fired("SELECT chain_id, source_key, event_id, us, first_us FROM fires"))
 def sequences(spark, sf):
-    rows = as_stream(events(spark, sf)).withWatermark("timestamp", "1 day")
-    return drained(stream_sequences(rows, LONG_CHAINS, lock_seconds=LOCK_SECONDS), spark).select(
-        "chain_id", "source_key", "event_id", "us", "first_us")
+    return streamed_fires(spark, sf).select("chain_id", "source_key", "event_id", "us", "first_us")
 
 
 @query("r3_state_rows", fired("SELECT chain_id, count(*) AS fires, CAST(sum(length(letters)) AS BIGINT) AS steps FROM fires "
                              "JOIN chains USING (chain_id) GROUP BY chain_id"))
 def state_rows(spark, sf):
-    rows = as_stream(events(spark, sf)).withWatermark("timestamp", "1 hour")
-    return drained(stream_sequences(rows, LONG_CHAINS, lock_seconds=LOCK_SECONDS), spark).groupBy(
+    return streamed_fires(spark, sf).groupBy(
         "chain_id").agg(F.count(F.lit(1)).alias("fires"), F.sum(F.size("step_events")).alias("steps"))
 
 
-@query("r4_streaming_dedup", hits("""SELECT event_id, fingerprint FROM (SELECT *, us - lag(us) OVER (PARTITION BY fingerprint
-  ORDER BY us, event_id) AS gap FROM (SELECT *, sha256('sigma:' || source_key || ':' || title)[1:16] AS fingerprint FROM hits))
-  WHERE gap IS NULL OR gap >= 43200000000"""))
+GAP_SECONDS = 43200
+
+
+@query("r4_streaming_dedup", hits(f"""SELECT min_by(event_id, (us, event_id)) AS event_id, fingerprint, min(us) AS first_us,
+    max(us) AS last_us, count(*) AS hit_count
+  FROM (SELECT *, sum((gap IS NULL OR gap >= {GAP_SECONDS}000000)::INT) OVER (PARTITION BY fingerprint ORDER BY us, event_id) AS island
+    FROM (SELECT *, us - lag(us) OVER (PARTITION BY fingerprint ORDER BY us, event_id) AS gap
+      FROM (SELECT *, sha256('sigma:' || source_key || ':' || title)[1:16] AS fingerprint FROM hits)))
+  GROUP BY fingerprint, island"""))
 def dedup(spark, sf):
     signals = stage(spark, sf, "signal_rows", lambda: rule_signals(spark, sf).select(
         "fingerprint", "us", "event_id", "title", F.timestamp_micros("us").alias("timestamp")))
-    rows = as_stream(signals).withWatermark("timestamp", "1 day")
-    return drained(stream_first_alerts(rows, 43200), spark).select("event_id", "fingerprint")
+    alerts = drained(stream_alerts(arriving(signals, "fingerprint", GAP_SECONDS), GAP_SECONDS), spark)
+    return alerts.where("status = 'closed'").select("event_id", "fingerprint", "first_us", "last_us", "hit_count")
 
 
-@query("r5_streaming_throttle", fired("SELECT chain_id, source_key, count(*) AS fires FROM fires GROUP BY ALL"))
+@query("r5_streaming_throttle", fired("SELECT chain_id, source_key, us FROM fires"))
 def throttle(spark, sf):
-    rows = as_stream(events(spark, sf)).withWatermark("timestamp", "1 hour")
-    return drained(stream_sequences(rows, LONG_CHAINS, lock_seconds=LOCK_SECONDS), spark).groupBy(
-        "chain_id", "source_key").agg(F.count(F.lit(1)).alias("fires"))
+    return streamed_fires(spark, sf).select("chain_id", "source_key", "us")
 
 
 @query("r6_live_counts", hits("""SELECT us // 2000000 * 2 AS tick, count(DISTINCT ev.event_id) AS events, count(h.title) AS rule_hits
