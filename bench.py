@@ -57,6 +57,7 @@ def main():
     timed("parse_normalize", lambda: drain(parsed()))
     timed("rules_17", lambda: drain(match_rules(events, RULES).select("event_id", "fired")))
     timed("rules_200", lambda: drain(match_rules(events, many_rules(200)).select("event_id", "fired")))
+    timed("rules_1000", lambda: drain(match_rules(events, many_rules(1000)).select("event_id", "fired")))
     timed("dedup_gap", lambda: drain(dedup_gap(
         events.select("source_key", "us", "event_id"), ["source_key"], "us", 300, ["event_id"])))
     timed("match_sequences", lambda: drain(match_sequences(

@@ -4,13 +4,17 @@ import ast
 import fnmatch
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions.text import all_of, any_of, hold
+from vigilog.operators.literals import dictionary, required_word
 from vigilog.operators.normalize import get_field
 
 TEXT_MARK = "\ue0f1\ue0f2"  # private-use characters no keyword holds
+LITERALS_IN_PLAN = 250  # rule sets with more literals are matched by a dictionary of them
 
 
 class RuleError(ValueError):
@@ -149,6 +153,16 @@ def keyword_matches(text: str, keywords: list[str]) -> Column:
     return _either([f"contains({text}, {_quoted(w)})" for w in words])
 
 
+def regex_test(lower: str, text: str, pattern: str) -> str:
+    """The pattern anywhere in the text, whatever the case; it runs only where the longest word that
+    a match must hold stands (and on texts beyond ASCII, whose letters may match others)."""
+    test = f"{text} rlike {_quoted('(?idU)' + pattern)}"
+    word = required_word(pattern)
+    if not word:
+        return test
+    return f"((contains({lower}, {_quoted(word)}) or octet_length({text}) <> length({text})) and {test})"
+
+
 def field_matches(lower: str, text: str, modifier: str, values: list[str],
                   spark: SparkSession) -> Column:
     """Any value matches the field per modifier; a missing field never matches.
@@ -159,8 +173,7 @@ def field_matches(lower: str, text: str, modifier: str, values: list[str],
     if modifier in ("startswith", "endswith"):
         return _either([f"{modifier}({lower}, {v})" for v in wanted])
     if modifier == "re":
-        return _either([f"{text} rlike {_quoted('(?idU)' + v)}" for v in values
-                        if valid_regex(spark, v)])
+        return _either([regex_test(lower, text, v) for v in values if valid_regex(spark, v)])
     if modifier == "exact":
         return _either([f"{lower} = {v}" for v in wanted])
     return _either([f"contains({lower}, {v})" for v in wanted])  # and any modifier not known
@@ -187,8 +200,12 @@ def check_rules(rules: list[dict]) -> tuple[list[dict], list[str]]:
     return usable, errors
 
 
-def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """Adds ``fired``: array of (rule number, fired groups), in rule order."""
+def match_rules(events: DataFrame, rules: list[dict], literals_in_plan: int = LITERALS_IN_PLAN) -> DataFrame:
+    """Adds ``fired``: array of (rule number, fired groups), in rule order.
+
+    Sets of up to ``literals_in_plan`` literals are one expression of the plan; larger ones are
+    matched by a dictionary of their literals, with the same result.
+    """
     rules, _ = check_rules(rules)
     spark = events.sparkSession
     grouped = [detection_groups(r["detection"]) for r in rules]
@@ -203,6 +220,11 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     )
     staged = staged.select("*", *[F.lower(F.col(texts[p])).alias(lowers[p]) for p in paths])
 
+    hidden = ["_keyword_text", *texts.values(), *lowers.values()]
+    if sum(len(m[3]) for g in grouped for ms in g.values() for m in ms) > literals_in_plan:
+        fired = _dictionary_matches(rules, grouped, texts, lowers, spark)
+        return hold(staged.withColumn("fired", fired).drop(*hidden), events.columns)
+
     def matcher(kind, field, modifier, values):
         if kind == "keyword":
             return keyword_matches("_keyword_text", values)
@@ -230,7 +252,6 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
         ])) if seen else F.array().cast("array<string>")
         fired.append(F.when(_truth(tree, leaf), F.struct(
             F.lit(number).alias("rule"), groups_fired.alias("groups"))))
-    hidden = ["_keyword_text", *texts.values(), *lowers.values()]
     if not fired:
         return events.withColumn("fired", F.array().cast(
             "array<struct<rule:int,groups:array<string>>>"))
@@ -238,6 +259,33 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     return hold(matched, events.columns)
 
 
+class _Groups(dict):
+    """Detection groups that can be told apart by their text, as a part of a rule set's key."""
+
+    def __hash__(self):
+        return hash(repr(sorted(self.items())))
+
+
+def _dictionary_matches(rules, grouped, texts: dict, lowers: dict, spark: SparkSession) -> Column:
+    """``fired`` by a dictionary of literals, in batches of events."""
+    patterns = dict.fromkeys(
+        (m[1], v) for g in grouped for ms in g.values() for m in ms if m[0] == "field" and m[2] == "re" for v in m[3])
+    patterns = tuple(p for p in patterns if valid_regex(spark, p[1]))
+    tests = [F.expr(f"coalesce({regex_test(lowers[f], texts[f], v)}, false)") for f, v in patterns]
+    names = (None, *texts)
+    spec = (tuple(_Groups(g) for g in grouped), tuple(str(r["detection"]["condition"]).strip() for r in rules), names, patterns)
+
+    @F.arrow_udf("array<struct<rule:int,groups:array<string>>>")
+    def fired(rows: pa.Array) -> pa.Array:
+        *columns, bits = (rows.field(k) for k in range(len(names) + 1))
+        found = np.array(bits.flatten().to_numpy(zero_copy_only=False), bool).reshape(len(rows), len(patterns))
+        kind = pa.list_(pa.struct([("rule", pa.int32()), ("groups", pa.list_(pa.string()))]))
+        return pa.array(dictionary(*spec).fired(columns, found), kind)
+
+    return fired(F.struct(F.col("_keyword_text"), *[F.col(lowers[f]) for f in texts],
+                          F.array(*tests).cast("array<boolean>").alias("patterns")))
+
+
 def rule_attributes(rules: list[dict]) -> Column:
     """The rules' attributes as one literal array, indexed by rule number."""
     return F.array(*[

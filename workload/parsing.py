@@ -281,6 +281,22 @@ def rules(spark, sf):
         F.array_join("matched_groups", ",").alias("matched_groups"))
 
 
+def numbered_rules(n: int) -> list[dict]:
+    """Rules on a user each, unless the line names a port or the end of an address."""
+    return [{"id": f"n{i}", "title": f"N{i}", "level": "low", "tags": [], "detection": {
+        "who": {"message|contains": [f"User{i} ", f"user{i}0 "]}, "where": [f"port {22 + i} ", f"0.{i % 250} "],
+        "condition": "who and not where"}} for i in range(n)]
+
+
+@query("f10_thousand_rules", ev("""SELECT 'N' || i AS title, count(*) AS n FROM ev, (SELECT unnest(range(1000)) AS i)
+  WHERE (contains(lower(message), 'user' || i || ' ') OR contains(lower(message), 'user' || i || '0 '))
+    AND NOT (contains(lower(message), 'port ' || (22 + i) || ' ') OR contains(lower(raw), 'port ' || (22 + i) || ' ')
+      OR contains(lower(message), '0.' || (i % 250) || ' ') OR contains(lower(raw), '0.' || (i % 250) || ' '))
+  GROUP BY i"""))
+def thousand_rules(spark, sf):
+    return apply_rules(raw_events(spark, sf), numbered_rules(1000)).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("f11_enrich_with_matches", hits("""SELECT ev.event_id,
   coalesce(a.titles, '') AS sigma_matches, concat_ws(',', nullif(ev.tags, ''), b.tags) AS tags FROM ev
   LEFT JOIN (SELECT event_id, string_agg(title, ',' ORDER BY rule_number) AS titles FROM hits GROUP BY event_id) a
