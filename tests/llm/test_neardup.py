@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from vigilog.llm import neardup
 from vigilog.llm.common import table
 from vigilog.llm.components import components
 from vigilog.llm.neardup import near_copies, op6_chosen_path
@@ -70,6 +71,39 @@ def test_large_groups_and_odd_rows(spark, size):
     assert near_copies(docs.limit(0), size).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    rng = random.Random(4)
+    text = {c: " ".join(f"{c}{rng.randint(0, 900)}" for _ in range(40)) for c in "abcxyz"}
+    rows = [(3, text["a"]), (5, text["a"]), (5, text["b"]), (9, text["b"]), (9, text["c"]), (12, text["c"]), (20, text["x"]),
+            (20, ""), (20, None), (21, text["x"]), (19, text["y"]), (30, text["y"]), (30, text["z"]), (40, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 5, 80)
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert {r.component_id for r in got if r.doc_id == 20} == {20}
+
+
+@pytest.mark.parametrize("block,pairwise,small", [(1 << 21, 8, 4096), (400, 0, 4096), (3000, 1, 20)])
+def test_near_misses_lose_no_link(spark, monkeypatch, block, pairwise, small):
+    """Groups of copies with many edits: most pairs are just below the threshold, some above."""
+    for name, value in (("BLOCK_SHINGLES", block), ("PAIRWISE", pairwise), ("SMALL", small)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(12)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{rng.randint(0, 3000)}" for _ in range(100)]
+        for _ in range(70):
+            own = list(base)
+            for _ in range(rng.randint(1, 14)):
+                own[rng.randrange(100)] = rng.choice(["the", "of", f"x{rng.randint(0, 9)}", f"y{rng.random()}"])
+            rows.append((len(rows), " ".join(own)))
+    want = brute(rows, 2, 80)
+    sizes = [list(want.values()).count(c) for c in set(want.values())]
+    assert 3 < len(sizes) < 200 and max(sizes) > 5
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()
