@@ -76,9 +76,9 @@ def _tree_builder(names: list[str], seed: int, limit: int):
     return build
 
 
-def tree_samples(vectors: DataFrame, key: str, n_rows: int, n_trees: int, seed: int,
+def tree_samples(keys: DataFrame, key: str, n_rows: int, n_trees: int, seed: int,
                  sample: int = SAMPLE) -> DataFrame:
-    """For each tree the rows with the smallest hash of (row key, tree, seed).
+    """(_tree, _rank, key): for each tree the rows with the smallest hash of (row key, tree, seed).
 
     Independent of partitioning. Only rows under a hash bound that leaves about four times the
     sample are exploded and ranked.
@@ -89,15 +89,47 @@ def tree_samples(vectors: DataFrame, key: str, n_rows: int, n_trees: int, seed:
     drawn = F.transform(
         F.sequence(F.lit(0), F.lit(n_trees - 1)),
         lambda t: F.struct(t.alias("t"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("h")))
-    rows = vectors.withColumn("_draw", F.explode(F.filter(drawn, lambda d: d["h"] <= bound)))
+    rows = keys.select(key, F.explode(F.filter(drawn, lambda d: d["h"] <= bound)).alias("_draw"))
     rank = F.row_number().over(Window.partitionBy("_tree").orderBy("_h", key))
     return (
-        rows.select(F.col("_draw.t").alias("_tree"), F.col("_draw.h").alias("_h"), key,
-                    *FEATURE_NAMES)
-        .withColumn("_rank", rank).where(F.col("_rank") <= sample)
+        rows.select(F.col("_draw.t").alias("_tree"), F.col("_draw.h").alias("_h"), key)
+        .withColumn("_rank", rank).where(F.col("_rank") <= sample).drop("_h")
     )
 
 
+SCORE_BINS = 1 << 16  # of the raw scores, which lie between -1 and 0
+
+
+def score_histogram(vectors: DataFrame) -> DataFrame:
+    """(bin, n, low, high, sums): counts and bounds of the raw scores, and sums of the features.
+
+    Bins add up over tasks; there are at most SCORE_BINS of them.
+    """
+    at = F.floor((F.col("raw_score") + 1) * SCORE_BINS)
+    return vectors.groupBy(at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("raw_score").alias("low"), F.max("raw_score").alias("high"),
+        F.array(*[F.sum(c) for c in FEATURE_NAMES]).alias("sums"))
+
+
+def histogram_quantiles(bins: list, probabilities: list[float]) -> list[float]:
+    """Linear-interpolated quantiles from (low, high, n) in order: exact where a bin holds one value,
+    else to a bin's width."""
+    ends = np.cumsum([b[2] for b in bins])
+
+    def value(rank: int) -> float:
+        k = int(np.searchsorted(ends, rank, side="right"))
+        low, high, n = bins[k]
+        inside = rank - (ends[k] - n)
+        return low + (high - low) * (inside / (n - 1) if n > 1 else 0.0)
+
+    result = []
+    for p in probabilities:
+        x = p * (ends[-1] - 1)
+        lo, hi = math.floor(x), math.ceil(x)
+        result.append(float(value(lo) + (value(hi) - value(lo)) * (x - lo)))
+    return result
+
+
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float]:
     """Linear-interpolated quantiles; only the value bins a rank falls into are ordered."""
     low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
@@ -177,19 +209,21 @@ def train_baseline(events: DataFrame, key: str = "event_id", n_trees: int = 100,
     the training scores."""
     if n_trees > MAX_TREES:
         raise ValueError(f"at most {MAX_TREES} trees")
-    vectors = checkpointed(features(events, keep=[key]))
-    facts = vectors.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in FEATURE_NAMES]
-                        ).first()
-    if not facts["n"]:
+    n = events.count()
+    if not n:
         raise ValueError("no training events")
-    size = min(sample, facts["n"])
+    size = min(sample, n)
     limit = math.ceil(math.log2(max(size, 2)))
-    drawn = tree_samples(vectors, key, facts["n"], n_trees, seed, size)
-    trees = checkpointed(drawn.groupBy("_tree").applyInPandas(
+    # ids are drawn first; features are made for the drawn rows only, at most trees x sample of them
+    drawn = checkpointed(tree_samples(events.select(key), key, n, n_trees, seed, size))
+    asked = events.join(F.broadcast(drawn.select(key).distinct()), key, "left_semi")
+    points = drawn.join(features(asked, keep=[key]).dropDuplicates([key]), key)
+    trees = checkpointed(points.groupBy("_tree").applyInPandas(
         _tree_builder(FEATURE_NAMES, seed, limit), TREE_SCHEMA))
-    scores = checkpointed(raw_score(vectors, trees, size).select("raw_score"))
-    low, high = exact_quantiles(scores, "raw_score", [0.01, 0.99])
-    return Baseline(trees, [facts[n] for n in FEATURE_NAMES], size, low, high, facts["n"])
+    bins = score_histogram(raw_score(features(events, keep=[key]), trees, size)).orderBy("bin").collect()
+    low, high = histogram_quantiles([(b["low"], b["high"], b["n"]) for b in bins], [0.01, 0.99])
+    total = np.sum([b["sums"] for b in bins], axis=0)
+    return Baseline(trees, [float(x) / n for x in total], size, low, high, n)
 
 
 def anomaly_score(raw, score_min: float, score_max: float):

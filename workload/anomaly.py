@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from vigilog.functions.features import feature_columns, features, local_clock, top_features
 from vigilog.functions.hashing import stable_hash
 from vigilog.functions.net import port_bucket
+from vigilog.operators.alerts import alerts_from_scores
 from vigilog.operators.forest import (
-    anomaly_score, exact_quantiles, mean_vector, score_stats, without_false_positives,
+    SAMPLE, TREE_SCHEMA, Baseline, anomaly_score, average_path, exact_quantiles, mean_vector, score, score_stats,
+    without_false_positives,
 )
 from vigilog.values import ANOMALY_THRESHOLD, FEATURE_NAMES
 from workload.base import (
@@ -24,6 +26,15 @@ FEATURES_SQL = """clock AS (SELECT *, us + tz_offset_min * 60000000::BIGINT AS l
   feats AS (SELECT event_id, hr / 23 AS hour_of_day, mi / 59 AS minute_of_hour,
     CASE WHEN wd >= 5 THEN 1.0 ELSE 0.0 END AS is_weekend, CASE WHEN hr < 6 OR hr >= 22 THEN 1.0 ELSE 0.0 END AS is_off_hours,
     CASE WHEN hr >= 8 AND hr < 18 AND wd < 5 THEN 1.0 ELSE 0.0 END AS is_business_hours,
+    CASE WHEN source_ip <> '' THEN 1.0 ELSE 0.0 END AS has_source_ip,
+    CASE WHEN dest_port > 1024 THEN 1.0 ELSE 0.0 END AS is_high_port,
+    CASE WHEN dest_port BETWEEN 1 AND 1024 THEN 1.0 ELSE 0.0 END AS is_privileged_port,
+    CASE WHEN dest_port > 0 THEN 1.0 ELSE 0.0 END AS has_dest_port,
+    CASE WHEN prog_ = '' THEN 0.0 ELSE list_reduce(list_prepend(0::BIGINT, list_transform(string_split(prog_, ''),
+      lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) & 16777215) / 16777215 END AS program_hash_norm,
+    CASE WHEN regexp_matches(message, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b') THEN 1.0 ELSE 0.0 END AS has_ip_in_message,
+    CASE WHEN sev IN ('emerg', 'alert', 'crit', 'err') THEN 1.0 ELSE 0.0 END AS is_error_severity,
+    CASE WHEN sev IN ('notice', 'info', 'debug') THEN 1.0 ELSE 0.0 END AS is_info_severity,
     CAST(string_split(source_ip, '.')[1] AS INT) / 255 AS source_ip_octet1,
     CASE WHEN starts_with(source_ip, '10.') THEN 1.0 ELSE 0.0 END AS source_ip_is_rfc1918,
     coalesce(dest_port, 0) / 65535 AS dest_port_norm, coalesce(source_port, 0) / 65535 AS source_port_norm,
@@ -44,14 +55,6 @@ FEATURES_SQL = """clock AS (SELECT *, us + tz_offset_min * 60000000::BIGINT AS l
       WHEN fac IN ('news', 'lpr', 'uucp') THEN 0.2 WHEN fac LIKE 'local%' THEN 0.1 ELSE 0.0 END AS facility_enc,
     CASE WHEN sev <> '' THEN 1.0 ELSE 0.0 END AS has_severity, least(n_tags / 10, 1) AS tag_count_norm FROM parts)"""
 
-CHECKED = [
-    "hour_of_day", "minute_of_hour", "is_weekend", "is_off_hours", "is_business_hours", "source_ip_octet1",
-    "source_ip_is_rfc1918", "dest_port_norm", "source_port_norm", "is_common_port", "dest_port_bucket", "log_source_enc",
-    "is_auth_program", "is_network_program", "has_pid", "message_length_norm", "has_failure_keyword",
-    "has_success_keyword", "has_path_in_message", "severity_enc", "facility_enc", "has_severity", "tag_count_norm",
-]
-
-
 def featured(body: str) -> str:
     return hits("").rstrip() + ",\n" + FEATURES_SQL + "\n" + body
 
@@ -61,15 +64,15 @@ def vectors(spark, sf):
 
 
 @query("m1_features", featured("SELECT event_id, " + ", ".join(
-    f"CAST(round({c}, 6) AS DOUBLE) AS {c}" for c in CHECKED) + " FROM feats"))
+    f"CAST(round({c}, 6) AS DOUBLE) AS {c}" for c in FEATURE_NAMES) + " FROM feats"))
 def all_features(spark, sf):
-    return vectors(spark, sf).select("event_id", *[F.round(c, 6).alias(c) for c in CHECKED])
+    return vectors(spark, sf).select("event_id", *[F.round(c, 6).alias(c) for c in FEATURE_NAMES])
 
 
 @query("a22_mean_vector", featured("SELECT " + ", ".join(
-    f"CAST(round(avg({c}), 6) AS DOUBLE) AS {c}" for c in CHECKED) + " FROM feats"))
+    f"CAST(round(avg({c}), 6) AS DOUBLE) AS {c}" for c in FEATURE_NAMES) + " FROM feats"))
 def means(spark, sf):
-    return mean_vector(vectors(spark, sf)).select(*[F.round(c, 6).alias(c) for c in CHECKED])
+    return mean_vector(vectors(spark, sf)).select(*[F.round(c, 6).alias(c) for c in FEATURE_NAMES])
 
 
 @query("a23_score_calibration", """SELECT round(quantile_cont(o_totalprice, 0.01), 4) AS low,
@@ -125,17 +128,108 @@ def scale(spark, sf):
         anomaly_score(-F.col("l_discount") * 10, -0.65, -0.40).alias("score"))
 
 
-@query("t5_top_features", featured("""SELECT event_id, string_agg(f, ',' ORDER BY v DESC, i) AS features FROM (
-  SELECT event_id, f, v, i, row_number() OVER (PARTITION BY event_id ORDER BY v DESC, i) AS r FROM (
-    SELECT event_id, unnest(['is_weekend', 'is_off_hours', 'log_source_enc', 'severity_enc', 'facility_enc']) AS f,
-      unnest([is_weekend, is_off_hours, log_source_enc, severity_enc, facility_enc]) AS v, unnest([1, 2, 3, 4, 5]) AS i
-    FROM feats)) WHERE r <= 3 GROUP BY event_id"""))
+# a baseline for explanations: the mean of each feature, fixed here so that SQL can state it
+MEANS = [round(0.1 + (7 * i % 31) / 40, 3) for i in range(len(FEATURE_NAMES))]
+TOP_SQL = f"""ranked AS (SELECT event_id, f, d, i, row_number() OVER (PARTITION BY event_id ORDER BY d DESC, i) AS r FROM (
+  SELECT event_id, unnest([{', '.join(f"'{n}'" for n in FEATURE_NAMES)}]) AS f,
+    unnest([{', '.join(f"abs({n}::DOUBLE - {m}::DOUBLE)" for n, m in zip(FEATURE_NAMES, MEANS))}]) AS d,
+    unnest(range({len(FEATURE_NAMES)})) AS i FROM feats))"""
+
+
+@query("t5_top_features", featured(f""", {TOP_SQL} SELECT event_id, string_agg(f, ',' ORDER BY r) AS features FROM ranked
+  WHERE r <= 3 GROUP BY event_id"""))
 def top(spark, sf):
-    shown = ["is_weekend", "is_off_hours", "log_source_enc", "severity_enc", "facility_enc"]
-    rows = vectors(spark, sf).select("event_id", *[
-        F.col(n) if n in shown else F.lit(-1.0).alias(n) for n in FEATURE_NAMES])
-    return rows.select("event_id", F.array_join(F.transform(
-        top_features(None, 3), lambda t: t["feature"]), ",").alias("features"))
+    return vectors(spark, sf).select("event_id", F.array_join(F.transform(
+        top_features(MEANS, 3), lambda t: t["feature"]), ",").alias("features"))
+
+
+# -- a small forest that SQL can walk -------------------------------------------------------------
+
+# (feature, threshold, low side, high side), or the path of a leaf
+FOREST = [
+    ("dest_port_bucket", 0.15, ("severity_enc", 0.5, 5.5, 2.0), ("is_off_hours", 0.5, 7.25, 3.5)),
+    ("has_failure_keyword", 0.5, ("message_length_norm", 0.09, 6.0, ("hour_of_day", 0.3, 8.5, 9.25)), ("is_weekend", 0.5, 4.0, 1.5)),
+    ("tag_count_norm", 0.25, ("log_source_enc", 0.5, 6.5, 3.0), ("program_hash_norm", 0.4, 2.5, 5.0)),
+    ("is_error_severity", 0.5, ("source_ip_octet1", 0.2, 9.0, 4.5), 1.25),
+]
+LOW, HIGH = -0.85, -0.6
+
+
+def forest_rows() -> list[tuple]:
+    """FOREST as the rows of a table of nodes."""
+    rows = []
+    for number, root in enumerate(FOREST):
+        nodes, work = [None], [(0, root)]
+        while work:
+            at, node = work.pop()
+            if isinstance(node, float):
+                nodes[at] = (number, at, -1, 0.0, -1, -1, node)
+                continue
+            feature, threshold, low, high = node
+            nodes[at] = (number, at, FEATURE_NAMES.index(feature), threshold, len(nodes), len(nodes) + 1, 0.0)
+            work += [(len(nodes), low), (len(nodes) + 1, high)]
+            nodes += [None, None]
+        rows += nodes
+    return rows
+
+
+def path_sql(node) -> str:
+    if isinstance(node, float):
+        return f"{node}::DOUBLE"
+    feature, threshold, low, high = node
+    return f"CASE WHEN {feature} <= {threshold}::DOUBLE THEN {path_sql(low)} ELSE {path_sql(high)} END"
+
+
+SCORED_SQL = f"""{TOP_SQL},
+  raws AS (SELECT event_id, -pow(2, -(({' + '.join(f'({path_sql(t)})' for t in FOREST)}) / {len(FOREST)}) / {average_path(SAMPLE)!r}::DOUBLE) AS raw
+    FROM feats),
+  scores AS (SELECT event_id, greatest(least(({HIGH} - raw) / {HIGH - LOW!r}, 1), 0) AS score FROM raws)"""
+
+
+def walked(body: str) -> str:
+    return featured(f", {SCORED_SQL} {body}")
+
+
+def fixed_scores(spark, sf):
+    """Events scored by FOREST, with explanations against MEANS."""
+    def build():
+        trees = spark.createDataFrame(forest_rows(), TREE_SCHEMA)
+        return score(events(spark, sf), Baseline(trees, MEANS, SAMPLE, LOW, HIGH, 1))
+
+    return stage(spark, sf, "fixed_scores", build)
+
+
+@query("m3_fixed_forest", walked(f"SELECT event_id, round(score, 6)::DOUBLE AS anomaly_score, score >= {ANOMALY_THRESHOLD} AS is_anomalous FROM scores"))
+def fixed_forest(spark, sf):
+    return fixed_scores(spark, sf).select("event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomalous")
+
+
+@query("m4_fixed_flags", walked(f"""SELECT event_id, printf('ml:score:%.2f', score) AS mark FROM scores WHERE score >= {ANOMALY_THRESHOLD}"""))
+def fixed_flags(spark, sf):
+    flagged_ = fixed_scores(spark, sf).where(F.array_contains("tags", "ml:anomalous"))
+    return flagged_.select("event_id", F.explode(F.filter("tags", lambda t: F.startswith(t, F.lit("ml:score:")))).alias("mark"))
+
+
+@query("m5_fixed_explanations", walked("SELECT event_id, r::INT AS place, f AS feature, round(d, 6)::DOUBLE AS deviation FROM ranked WHERE r <= 5"))
+def fixed_explanations(spark, sf):
+    rows = fixed_scores(spark, sf).select("event_id", F.posexplode("top_features").alias("p", "t"))
+    return rows.select("event_id", (F.col("p") + 1).alias("place"), "t.feature", F.round("t.deviation", 6).alias("deviation"))
+
+
+@query("a3_fixed_stats", walked(f"""SELECT count(*) AS events_scored, count(*) FILTER (score >= {ANOMALY_THRESHOLD}) AS anomalies_detected,
+  round(avg(score), 6)::DOUBLE AS avg_score, round(max(score), 6)::DOUBLE AS max_score FROM scores"""))
+def fixed_stats(spark, sf):
+    stats_ = score_stats(fixed_scores(spark, sf))
+    return stats_.select("events_scored", "anomalies_detected", *[F.round(c, 6).alias(c) for c in ("avg_score", "max_score")])
+
+
+@query("l3_fixed_alerts", walked(f"""SELECT event_id, source_ip AS source_key, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.7 THEN 'medium'
+    ELSE 'low' END AS severity, us, substr(message, 1, 256) AS event_message, round(score, 6)::DOUBLE AS anomaly_score,
+    substr(sha256('ml:' || source_ip || ':ml:' || floor(score * 10)::INT), 1, 16) AS fingerprint
+  FROM scores JOIN ev USING (event_id) WHERE score >= {ANOMALY_THRESHOLD}"""))
+def fixed_alerts(spark, sf):
+    return alerts_from_scores(fixed_scores(spark, sf)).select(
+        "event_id", "source_key", "severity", "us", "event_message", F.round("anomaly_score", 6).alias("anomaly_score"), "fingerprint")
 
 
 @query("m2_train_baseline")
