@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -67,3 +68,27 @@ def test_odd_rows_and_split_anchors(spark, monkeypatch, rows_in_shard, piece):
     assert sorted(key(r.doc_id, r.text, (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()))
                   for r in got) == sorted(key(d, t, w) for (d, t, _), w in zip(rows, want))
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_with_equal_checksums_and_no_id(spark):
+    rng = random.Random(9)
+    tail = bytes(rng.choice(b"abcdefgh ") for _ in range(600))
+    met = {}
+    while True:
+        head = bytes(rng.choice(b"abcdefghijkl") for _ in range(12))
+        other = met.setdefault(zlib.crc32(head + tail), head)
+        if other != head:
+            break
+    texts = [(head + tail).decode(), (other + tail).decode()]
+    rows = [(None, t) for t in texts] + [(7, texts[0][:300]), (7, texts[1][:300])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.text, r.n_removed) for r in remove_repeats(docs).collect())
+    assert got == sorted((t, w[1]) for (_, t), w in zip(rows, brute([t.encode() for _, t in rows], 200)))
+
+
+def test_repeated_rows_hand_on_their_bytes_once(spark):
+    rng = random.Random(10)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    docs = spark.createDataFrame([(1, text)] * 40 + [(None, text)] * 40 + [(2, text[:250])], "doc_id long, text string").repartition(5)
+    got = remove_repeats(docs).collect()
+    assert len(got) == 81 and all(r.n_removed == r.n_bytes for r in got)

@@ -26,11 +26,13 @@ from vigilog.llm.common import checkpointed, prepare, query, table, utf8, whole_
 
 LENGTH = 200
 GRAM = 64
-SHARD_BYTES = 4 << 20    # of a shard, on average
+SHARD_BYTES = 1 << 20    # of a shard, on average
 SHARD_ROWS = 12_000      # stretches of one anchor in a shard; more are dealt to several
-PIECE = 1 << 20          # windows that a task looks at at a time
+PIECE = 1 << 18          # windows that a task looks at at a time
 MERGE_ROWS = 100_000     # strings that are merged in a task, on average
 
+KEYS = ["id", "high", "low"]  # a row is known by its id and a digest of its text: equal rows lose the same bytes
+
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _KIND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -65,7 +67,7 @@ def stretches(pieces: list[bytes], length: int, gram: int):
     """
     sizes = np.array([len(p) for p in pieces])
     text = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64) + np.uint64(1)
-    up, down = _powers(1 << max(20, int(len(text)).bit_length()))
+    up, down = _powers(max(1 << 20, len(text)))  # one size but for tests with odd ones
     total = np.concatenate([[np.uint64(0)], np.cumsum(text * up[:len(text)], dtype=np.uint64)])
     grams = _mix((total[gram:] - total[:-gram]) * down[:len(text) - gram + 1])
     first = np.cumsum(sizes) - sizes
@@ -92,10 +94,10 @@ def _rows(length: int, gram: int):
     def rows(batches):
         for batch in batches:
             held, size = [], 0
-            for i, c, text in zip(batch["id"].to_pylist(), batch["crc"].to_pylist(), utf8(batch["text"]), strict=True):
+            for *key, text in zip(*(batch[c].to_pylist() for c in KEYS), utf8(batch["text"]), strict=True):
                 for base in range(0, len(text) - length + 1, PIECE):  # long texts bit by bit
-                    held.append((i, c, base, text[base:base + PIECE + length - 1]))
-                    size += len(held[-1][3])
+                    held.append((*key, base, text[base:base + PIECE + length - 1]))
+                    size += len(held[-1][-1])
                     if size >= 2 * PIECE:
                         yield encode(held)
                         held, size = [], 0
@@ -103,11 +105,11 @@ def _rows(length: int, gram: int):
                 yield encode(held)
 
     def encode(held):
-        piece, start, windows, anchor, whole, inner = stretches([h[3] for h in held], length, gram)
-        ids, crcs, base = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
+        piece, start, windows, anchor, whole, inner = stretches([h[-1] for h in held], length, gram)
+        *keys, base = (np.array([h[k] for h in held], np.int64) for k in range(len(KEYS) + 1))
         none = np.zeros(len(inner), np.int64)  # rows without a place count an anchor once more
         return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(x)) for c, x in (
-            ("id", (ids[piece], none)), ("crc", (crcs[piece], none)),
+            *((c, (x[piece], none)) for c, x in zip(KEYS, keys, strict=True)),
             ("place", (((base[piece] + start) << 32) | windows, none - 1)),
             ("anchor", (anchor, inner)), ("whole", (whole, none)))})
 
@@ -135,9 +137,10 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i:i + n]
-    order = np.argsort(key, kind="stable")
-    ranks = np.empty(n, np.int64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    ranks = np.empty(n, np.int32)
     ranks[order] = _group_starts(key[order])
+    del key, padded
     reach = 8
     open_ = order
     while len(open_):
@@ -153,7 +156,7 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
         open_, later, before = open_[turn], later[turn], before[turn]
         first = np.concatenate([[True], (before[1:] != before[:-1])])
         new = first | np.concatenate([[True], later[1:] != later[:-1]])
-        at = np.arange(len(open_))
+        at = np.arange(len(open_), dtype=np.int32)
         group = at[first][np.cumsum(first) - 1]
         ranks[open_] = before + at[new][np.cumsum(new) - 1] - group
         reach *= 2
@@ -161,7 +164,7 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
 
 
 def _group_starts(ordered: np.ndarray) -> np.ndarray:
-    at = np.arange(len(ordered))
+    at = np.arange(len(ordered), dtype=np.int32)
     return np.maximum.accumulate(np.where(np.concatenate([[True], ordered[1:] != ordered[:-1]]), at, 0))
 
 
@@ -175,7 +178,7 @@ def common_prefixes(text: np.ndarray, before: np.ndarray, starts: np.ndarray, wi
     """
     last = np.zeros(len(text), bool)
     last[starts + windows - 1] = True
-    out = np.zeros(len(text), np.int64)
+    out = np.zeros(len(text), np.int32)
     carried = np.zeros(len(starts), np.int64)
     rows = np.argsort(-windows, kind="stable")
     ends = np.searchsorted(-windows[rows], -np.arange(int(windows.max(initial=0))), "left")
@@ -204,7 +207,7 @@ def repeated_windows(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.n
     at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     ranks = suffix_ranks(text)
     order = at[np.argsort(ranks[at], kind="stable")]
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]
     shared = common_prefixes(text, before, starts, windows, length)
     hit = np.flatnonzero(shared >= length)
@@ -297,16 +300,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     ones are replaced.
     """
     prepare(docs.sparkSession)
-    # rows are known by id and checksum: equal rows lose the same bytes
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
-            F.crc32(whole_text().cast("binary")).alias("crc")]
+            F.xxhash64(whole_text()).alias("high"), F.xxhash64(F.lit(1), whole_text()).alias("low")]
     texts = docs.select(*keys, whole_text().alias("text")).where(F.octet_length("text") >= length)
-    rows = texts.mapInArrow(_rows(length, gram), "id bigint, crc bigint, place bigint, anchor bigint, whole bigint")
+    rows = texts.mapInArrow(
+        _rows(length, gram), "id bigint, high bigint, low bigint, place bigint, anchor bigint, whole bigint")
     again = checkpointed(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     places = checkpointed(rows.where("place >= 0").join(again, "anchor"))
     distinct = checkpointed(places.groupBy("anchor", "whole").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "crc", "place")).alias("at"))
-        .select("anchor", "whole", "n", "at.id", "at.crc", "at.place"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEYS, "place")).alias("at"))
+        .select("anchor", "whole", "n", "at.*"))
     windows = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     crowded = checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(
         F.col("rows") > shard_rows))
@@ -315,9 +318,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     alone = F.xxhash64("anchor", F.pmod("whole", F.ceil(F.col("rows") / shard_rows)))
     dealt = distinct.join(crowded, "anchor", "left").withColumn("split", F.col("rows").isNotNull()).withColumn(
         "shard", F.when(F.col("split"), alone).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
-    wanted = dealt.groupBy("id", "crc").agg(
+    wanted = dealt.groupBy(*KEYS).agg(
         F.collect_list(F.struct("place", "shard", "split", "anchor", "whole")).alias("wanted"))
-    bodies = texts.join(wanted, ["id", "crc"]).select("text", "wanted").mapInArrow(
+    single = texts.groupBy(*KEYS).agg(F.first("text").alias("text"))  # repeated rows hand on their bytes once
+    bodies = single.join(wanted, KEYS).select("text", "wanted").mapInArrow(
         _bodies(length), "shard bigint, anchor bigint, whole bigint, split boolean, body binary")
     kind = "anchor bigint, whole bigint, begin bigint, stop bigint"
     found = checkpointed(bodies.groupBy("shard", "split").applyInArrow(
@@ -329,12 +333,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     whole = distinct.where("n > 1").select("anchor", "whole", F.lit(0).cast("long").alias("begin"), windows.alias("stop"))
     hits = own.unionByName(merged).unionByName(whole)
     begin = F.shiftright("place", 32)
-    covers = places.join(hits, ["anchor", "whole"]).groupBy("id", "crc").agg(F.collect_list(F.struct(
+    covers = places.join(hits, ["anchor", "whole"]).groupBy(*KEYS).agg(F.collect_list(F.struct(
         (begin + F.col("begin")).alias("start"), (begin + F.col("stop") + length - 1).alias("end"))).alias("_covers"))
-    rest = without(docs, ["kept", "n_bytes", "n_removed", "spans", "_cut", "_id", "_crc", "_covers"])
-    keyed = rest.withColumn("_id", keys[0]).withColumn("_crc", keys[1])
-    covers = covers.withColumnsRenamed({"id": "_id", "crc": "_crc"})
-    cut = keyed.join(covers, ["_id", "_crc"], "left").withColumn("_cut", _cut(whole_text(), F.col("_covers")))
+    own = [f"_{c}" for c in KEYS]
+    rest = without(docs, ["kept", "n_bytes", "n_removed", "spans", "_cut", "_covers", *own])
+    keyed = rest.select("*", *(k.alias(c) for k, c in zip(keys, own, strict=True)))
+    covers = covers.withColumnsRenamed(dict(zip(KEYS, own, strict=True)))
+    cut = keyed.join(covers, own, "left").withColumn("_cut", _cut(whole_text(), F.col("_covers")))
     return cut.select(
         *[f"`{c}`" for c in rest.columns], F.col("_cut.kept").alias("kept"), F.col("_cut.n_bytes").alias("n_bytes"),
         (F.col("_cut.n_bytes") - F.octet_length("_cut.kept")).alias("n_removed"), F.col("_cut.spans").alias("spans"))
