@@ -89,9 +89,13 @@ def test_retain_newest(spark):
     data = rows(500)
     df = spark.createDataFrame(data, "id bigint, key string, us bigint, kind string")
     newest = sorted(((us, i) for i, _, us, _ in data), reverse=True)
-    for n in (1, 99, 499, 500, 900):
-        got = {r.id for r in retain_newest(df, n, "us", ["id"], slot_seconds=100).collect()}
-        assert got == {i for _, i in newest[:n]}
+    df = df.unionByName(spark.createDataFrame([(9999, "k", None, "x")], df.schema))
+    for n in (0, 1, 99, 499, 500, 900):
+        for radix, ranked in ((1024, 100_000), (4, 10), (2, 1)):
+            kept = retain_newest(df, n, "us", ["id"], radix, ranked)
+            assert {r.id for r in kept.collect()} == {i for _, i in newest[:n]}
+    plan = retain_newest(df, 99, "us", ["id"], 4, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan.replace("TakeOrderedAndProject", "")
 
 
 def test_a_burst_is_cut_into_bounded_pieces(spark):

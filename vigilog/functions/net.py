@@ -43,6 +43,20 @@ def ip_number(ip: Column) -> Column:
     return F.when(is_ipv4(ip), total)
 
 
+def ip_bits(ip: Column) -> Column:
+    """An address as text of its family (4 or 6) and its 32 or 128 bits, null for anything else."""
+    # the groups that :: stands for are written out
+    missing = 8 - F.length(F.regexp_replace(ip, "[^:]", ""))
+    inside = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.greatest(missing, F.lit(0))))
+    full = F.when(F.contains(ip, F.lit("::")), F.concat(
+        F.when(F.startswith(ip, F.lit("::")), F.lit("0")).otherwise(F.lit("")),
+        F.replace(ip, F.lit("::"), inside),
+        F.when(F.endswith(ip, F.lit("::")), F.lit("0")).otherwise(F.lit("")))).otherwise(ip)
+    groups = F.transform(F.split(full, ":"), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0"))
+    return F.when(is_ipv4(ip), F.concat(F.lit("4"), F.lpad(F.bin(ip_number(ip)), 32, "0"))).when(
+        F.coalesce(ip.rlike(IPV6), F.lit(False)), F.concat(F.lit("6"), F.array_join(groups, "")))
+
+
 def is_private(ip: Column) -> Column:
     """Private, loopback or link-local; text that is no address is not private."""
     number = ip_number(ip)

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def store_rows(events: DataFrame) -> DataFrame:
@@ -24,29 +23,36 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def retain_newest(df: DataFrame, n: int, us: str, tie: list[str], slot_seconds: int = 60
-                  ) -> DataFrame:
-    """The newest ``n`` rows, without ordering more than one time slot of them.
+RADIX = 1024          # slots of one digit, of which only counts reach the driver
+RANKED_ROWS = 100_000  # rows of the last slot, of which the newest are sorted out
+
+
+def retain_newest(df: DataFrame, n: int, us: str, tie: list[str], radix: int = RADIX,
+                  ranked_rows: int = RANKED_ROWS) -> DataFrame:
+    """The newest ``n`` rows; of equal times those of larger ``tie``.
 
-    Rows are counted per slot. Slots wholly inside the newest n are kept as they are, and only
-    the slot the limit falls into is ranked.
+    The instant where the limit falls is found digit by digit: rows are counted in ``radix`` slots,
+    then in slots of the one that holds the limit, until it is one instant or holds few rows. Rows
+    after it are kept as they are; of those inside only the missing ones are sorted out. Rows without
+    a time are not kept.
     """
-    slot = F.floor(F.col(us) / F.lit(slot_seconds * 1_000_000))
-    counts = df.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
-    newer = F.sum("_n").over(Window.orderBy(F.desc("_slot")).rowsBetween(
-        Window.unboundedPreceding, -1))
-    marked = counts.select("_slot", F.coalesce(newer, F.lit(0)).alias("_newer"), "_n")
-    edge = marked.where((F.col("_newer") < n) & (F.col("_newer") + F.col("_n") > n)).first()
-    whole = marked.where(F.col("_newer") + F.col("_n") <= n).agg(F.min("_slot")).first()[0]
-    rows = df.withColumn("_slot", slot)
-    kept = rows.where(F.col("_slot") >= whole) if whole is not None else rows.where(F.lit(False))
-    if edge is not None:
-        rank = F.row_number().over(Window.partitionBy("_slot").orderBy(F.desc(us), *[
-            F.desc(t) for t in tie]))
-        part = rows.where(F.col("_slot") == edge["_slot"]).withColumn("_rank", rank)
-        kept = kept.unionByName(
-            part.where(F.col("_rank") <= n - edge["_newer"]).drop("_rank"))
-    return kept.drop("_slot")
+    low, high, total = df.agg(F.min(us), F.max(us), F.count(us)).first()
+    if n <= 0 or not total:
+        return df.limit(0)
+    if total <= n:
+        return df.where(F.col(us).isNotNull())
+    missing, inside = n, total  # of the rows between low and high
+    while inside > ranked_rows and high > low:
+        width = (high - low) // radix + 1
+        slots = df.where(F.col(us).between(low, high)).groupBy(
+            F.floor((F.col(us) - F.lit(low)) / F.lit(width)).alias("slot")).count().collect()
+        for slot, rows in sorted(((r["slot"], r["count"]) for r in slots), reverse=True):
+            if rows >= missing:
+                low, high, inside = low + slot * width, min(high, low + (slot + 1) * width - 1), rows
+                break
+            missing -= rows
+    part = df.where(F.col(us).between(low, high)).orderBy(F.desc(us), *map(F.desc, tie)).limit(missing)
+    return df.where(F.col(us) > high).unionByName(part)
 
 
 def recent_events(df: DataFrame, host: str | None = None, has_alert: bool | None = None,
