@@ -164,20 +164,6 @@ def overlapping_sets(sets: DataFrame, threshold: float = OVERLAP) -> DataFrame:
         F.col("jaccard") > threshold)
 
 
-def rule_overlaps(matchers: DataFrame, threshold: float = OVERLAP) -> DataFrame:
-    """(rule_a, rule_b, jaccard) of all overlapping rules, rule_a < rule_b."""
-    sets = keyword_sets(matchers)
-    alike = overlapping_sets(sets, threshold)
-    same = sets.select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"),
-                       F.lit(1.0).alias("jaccard")).distinct()
-    of = lambda side: sets.select(
-        F.col("set_id").alias(f"set_{side}"), F.col("rule_id").alias(f"_{side}"))
-    members = alike.unionByName(same).join(of("a"), "set_a").join(of("b"), "set_b").where(
-        (F.col("set_a") != F.col("set_b")) | (F.col("_a") < F.col("_b")))
-    return members.select(F.least("_a", "_b").alias("rule_a"),
-                          F.greatest("_a", "_b").alias("rule_b"), "jaccard")
-
-
 def overlap_counts(matchers: DataFrame, threshold: float = OVERLAP) -> DataFrame:
     """(rule_id, overlaps): how many other rules each rule overlaps; no pair of copies is
     ever formed."""

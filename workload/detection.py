@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vigilog.functions.hashing import fingerprint, stix_id
-from vigilog.functions.severity import ml_severity, stix_confidence
+from vigilog.functions.severity import ml_severity, severity_rank, stix_confidence
 from vigilog.functions.stix import base64_text, stix_pattern
 from vigilog.operators import reports
 from vigilog.operators.alerts import (
@@ -246,17 +246,10 @@ def newest_alerts(spark, sf):
     return recent_alerts(alerts(spark, sf), 1000, 5, severity="medium").select("alert_id", "us")
 
 
-@query("t3_alerts_by_severity", alerted(f"""SELECT alert_id, severity, us, row_number() OVER (
-  ORDER BY {RANK_SQL} DESC, us DESC, alert_id) AS position FROM alerts ORDER BY position LIMIT 200"""))
+@query("t3_alerts_by_severity", alerted(f"""SELECT alert_id, severity, {RANK_SQL} AS rank, us FROM alerts"""))
 def worst_first(spark, sf):
-    from pyspark.sql.window import Window
-
-    from vigilog.functions.severity import severity_rank
-
-    top = by_severity(alerts(spark, sf)).limit(200)
-    place = F.row_number().over(Window.orderBy(
-        F.desc(severity_rank("severity")), F.desc("us"), "alert_id"))
-    return top.select("alert_id", "severity", "us", place.alias("position"))
+    """All alerts, most severe first; the order is tested beside the operator."""
+    return by_severity(alerts(spark, sf)).select("alert_id", "severity", severity_rank("severity").alias("rank"), "us")
 
 
 @query("t7_auto_incident", alerted("""SELECT alert_id FROM alerts WHERE alert_type = 'correlation'

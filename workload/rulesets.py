@@ -135,25 +135,24 @@ def unknown(spark, sf):
     return Q.unknown_technique_tags(usable(spark, sf), techniques_table(spark))
 
 
-def _some(spark, sf):
-    return usable(spark, sf).where("title not like '%ring%'")
-
-
 @query("j3_uncovered_techniques", sql("""SELECT technique_id FROM known WHERE technique_id NOT IN (
   SELECT technique_id FROM cover_chains) AND technique_id NOT IN (
-  SELECT tech FROM rules WHERE title NOT LIKE '%ring%' AND tech IS NOT NULL)"""))
+  SELECT tech FROM rules WHERE level = 'critical' AND tech IS NOT NULL)"""))
 def uncovered(spark, sf):
-    return Q.uncovered_techniques(_some(spark, sf), chains_table(spark), techniques_table(spark)
-                                  ).select("technique_id")
+    """Techniques for which there is neither a chain nor a critical rule."""
+    return Q.uncovered_techniques(Q.filter_rules(usable(spark, sf), "critical"), chains_table(spark),
+                                  techniques_table(spark)).select("technique_id")
 
 
-@query("u4_known_but_uncovered", sql("""SELECT tactic, count(*) AS n FROM known WHERE technique_id NOT IN (
-  SELECT tech FROM rules WHERE tech IS NOT NULL AND k % 2 = 1) AND technique_id NOT IN (
-  SELECT technique_id FROM cover_chains) GROUP BY tactic"""))
+@query("u4_known_but_uncovered", sql("""SELECT tactic, count(*) AS known, count(*) FILTER (technique_id NOT IN (
+    SELECT tech FROM rules WHERE tech IS NOT NULL) AND technique_id NOT IN (SELECT technique_id FROM cover_chains)) AS uncovered
+  FROM known GROUP BY tactic"""))
 def uncovered_by_tactic(spark, sf):
-    odd = usable(spark, sf).where(F.regexp_extract("source_file", r"p(\d+)\.", 1).cast("int") % 2 == 1)
-    return Q.uncovered_techniques(odd, chains_table(spark), techniques_table(spark)).groupBy(
-        "tactic").agg(F.count(F.lit(1)).alias("n"))
+    known = techniques_table(spark)
+    open_ = Q.uncovered_techniques(usable(spark, sf), chains_table(spark), known).select(
+        "technique_id", F.lit(True).alias("open"))
+    return known.join(open_, "technique_id", "left").groupBy("tactic").agg(
+        F.count(F.lit(1)).alias("known"), F.count("open").alias("uncovered"))
 
 
 @query("a6_coverage_by_technique", sql("""SELECT technique_id, tactic, count(*) FILTER (WHERE kind = 'rule') AS rules,

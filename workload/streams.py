@@ -134,17 +134,37 @@ def live(spark, sf):
     return last.select(F.unix_seconds("tick").alias("tick"), "x.events", "x.rule_hits")
 
 
-@query("r7_rule_refresh", hits("""SELECT title, count(*) AS n FROM hits WHERE title = 'Port Scan Detected' GROUP BY title"""))
+@query("r7_rule_refresh", ev("""SELECT id % 3 AS batch, count(*) AS n FROM ev WHERE CASE id % 3 WHEN 0
+    THEN contains(lower(message), 'port scan') ELSE contains(lower(message), 'failed password') END GROUP BY ALL"""))
 def refresh(spark, sf):
-    rules, out = folder(spark), folder(spark)
-    spark.createDataFrame([("title: Port Scan Detected\nid: a1\nlogsource: {}\nlevel: low\ntags: [attack.t1046]\ndetection:\n"
-                            "  k: ['port scan']\n  condition: k",)], "value string").coalesce(1).write.text(rules)
+    """Three micro-batches: a rule, the rule with another keyword, and the same beside a broken one."""
+    rules, path, out = folder(spark), folder(spark), folder(spark)
+
+    def offer(text, mode):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(rules)
+
+    def rule(word):
+        return (f"title: Watched\nid: a1\nlogsource: {{}}\nlevel: low\ntags: [attack.t1046]\ndetection:\n"
+                f"  k: ['{word}']\n  condition: k")
+
+    plain = events(spark, sf).withColumn("sigma_matches", F.array().cast("array<string>"))
+    for k in range(3):  # files are read in the order in which they were written
+        plain.where(F.col("event_id").cast("bigint") % 3 == k).coalesce(1).write.mode("append").parquet(path)
+    offer(rule("port scan"), "overwrite")
     watched = RuleFolder(spark, rules, "*.txt")  # as the text writer names its files
-    plain = as_stream(events(spark, sf)).withColumn("sigma_matches", F.array().cast("array<string>"))
-    plain.writeStream.trigger(availableNow=True).option("checkpointLocation", out + "/state").foreachBatch(
-        watched.each_batch(lambda df, _: df.select(F.explode("sigma_matches").alias("title")).write.mode(
-            "append").parquet(out + "/data"))).start().awaitTermination()
-    return spark.read.parquet(out + "/data").groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    match = watched.each_batch(lambda df, batch: df.select(F.explode("sigma_matches").alias("title"), F.lit(batch).alias("batch")).write.mode(
+        "append").parquet(out + "/data"))
+
+    def run(df, batch):
+        if batch == 1:
+            offer(rule("failed password"), "overwrite")
+        if batch == 2:
+            offer("title: [", "append")
+        match(df, batch)
+
+    spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.trigger(
+        availableNow=True).option("checkpointLocation", out + "/state").foreachBatch(run).start().awaitTermination()
+    return spark.read.parquet(out + "/data").groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r8_streaming_sinks", hits("""SELECT (SELECT count(*) FROM ev) AS events, count(*) AS alerts, count(*) AS bundles
