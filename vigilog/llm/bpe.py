@@ -19,28 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilog.llm.common import query, table, whole_text, without
+from vigilog.llm.memo import Memo
 
 PIECES_KEPT = 100_000
 PAIRS_KEPT = 200_000
 LONGEST_KEPT = 64
 
 
-class Pieces(dict):
-    """Ids (little-endian, 32 bits each) of the pieces met lately."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= PIECES_KEPT:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Encodes and decodes by a file of ranks (base64 token, rank per line)."""
 
@@ -57,9 +42,10 @@ class Encoder:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
+        self.pairs = Memo(self._stays, PAIRS_KEPT)
         self.findall = regex.compile(pattern).findall
-        self.pieces = Pieces(self.encode_piece)
+        self.pieces = Memo(self._piece, PIECES_KEPT, LONGEST_KEPT)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> "Encoder":
@@ -83,14 +69,18 @@ class Encoder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _stays(self, pair: int) -> bool:
+        left, right = divmod(pair, len(self.bytes_of))
+        return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.pairs[left, right] = known
-        return known
+        return self.pairs[left * len(self.bytes_of) + right]
+
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of a piece (little-endian, 32 bits each)."""
+        raw = piece.encode()
+        own = self.ranks.get(raw)
+        return self.packed[own] if own is not None else b"".join(map(self.packed.__getitem__, self.encode_piece(raw)))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         if piece in self.ranks:

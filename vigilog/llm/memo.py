@@ -11,7 +11,7 @@ class Memo(dict):
     made anew each time, so the bytes held are bounded too.
     """
 
-    def __init__(self, make: Callable, kept: int, longest: int):
+    def __init__(self, make: Callable, kept: int, longest: int | None = None):
         super().__init__()
         self.make, self.kept, self.longest = make, kept, longest
         self.old: dict = {}
@@ -20,7 +20,7 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > self.longest:
+            if self.longest is not None and len(key) > self.longest:
                 return value
         if len(self) >= self.kept:
             self.old = dict(self)
