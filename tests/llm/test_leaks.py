@@ -91,3 +91,23 @@ def test_query_against_shared_words(spark):
                 assert i in got[d]
             if len(covered) < leaks.COVERAGE * len(item):
                 assert i not in got[d]
+
+
+def test_query_equals_plain_tiling(spark):
+    """Every document against every item by the definition of the tiling, wherever they share a run of words."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: words_of(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {}
+    for d, words in docs.items():
+        runs = {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+        for i, item in items.items():
+            if any(tuple(item[k:k + 5]) in runs for k in range(len(item) - 4)):
+                share = sum(n for _, _, n in plain_tiles(item, words, 5)) / len(item)
+                if share >= leaks.COVERAGE:
+                    want[d, i] = share
+    got = leaks.op9_benchmark_tiling(spark, sf).collect()
+    assert {(r.doc_id, i) for r in got for i in r.item_ids} == set(want) and len(want) >= 3
+    for r in got:
+        best = max((share for (d, _), share in want.items() if d == r.doc_id), default=0.0)
+        assert abs(r.coverage - best) < 1e-12 and r.contaminated == (best > 0)
