@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from vigilog.llm import bpe, leaks, lines, neardup, toxicity  # noqa: E402
-from vigilog.llm.common import fold, prepare, shared_folder, table  # noqa: E402
+from vigilog.llm.common import fold, prepare, table  # noqa: E402
+from vigilog.session import job_folder  # noqa: E402
 
 TOXIC = 0.3  # documents of this score or more are rejected
 
@@ -24,7 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC, learned from the labels outside the held-out fold."""
     prepare(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    if not model.evidence:  # nothing to tell by
+    if not model.evidence:  # no label tells documents apart: all have one score, and none is known to be toxic
         return docs
     return toxicity.tag(boxed(docs), model).where(F.col("toxic_score") < TOXIC).select("row.*")
 
@@ -72,9 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet and read again."""
+    """Applies the stages to documents; each result is written as Parquet, below this application's
+    folder (``session.release`` deletes it), and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{job_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
