@@ -1,11 +1,11 @@
 """The pipeline, stage by stage, against plain versions of its decisions."""
 
 import corpus_pipeline as pipeline
+from test_dedup_text import kept_lines
 from test_neardup import brute
 
 from vigilog.llm.common import table
 from vigilog.llm.leaks import words_of
-from vigilog.llm.lines import chunks, passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,17 +24,7 @@ def test_stages(spark, tmp_path):
     assert sum((d not in polite) != bool(t) for d, t in toxic.items()) <= 0.1 * len(toxic)
     assert all(polite[d] == start[d] for d in polite)
 
-    first = {}
-    for d in sorted(polite):
-        for n, body in passages(polite[d]):
-            first.setdefault(body, (d, n))
-    want = {}
-    for d, text in polite.items():
-        bodies, all_lines = dict(passages(text)), text.split("\n")
-        kept = [x for n, (a, b) in enumerate(chunks(all_lines)) for x in all_lines[a:b]
-                if n not in bodies or first[bodies[n]] == (d, n)]
-        if len(kept) == len(all_lines) or "\n".join(kept).strip(" "):
-            want[d] = "\n".join(kept)
+    want = {int(d): text for d, text, _, removed in kept_lines(list(polite.items())) if not removed or text.strip(" ")}
     assert cut == want
 
     component = brute(list(cut.items()), 5, 80)

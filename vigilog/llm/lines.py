@@ -1,13 +1,14 @@
 """Deduplication of passages of lines by content-defined chunks.
 
-Every line is hashed, and a rolling hash over the last two line hashes decides whether a chunk
-ends there. A boundary depends on two lines only, so a passage is cut in the same way wherever it
-stands, whatever was put before it. Chunks of several lines that stand more than once, compared
-byte by byte, are removed everywhere but at their first place (smallest doc_id, then position).
-
-A chunk that holds a foreign line does not repeat, so most passages inside otherwise different
-documents stay. ``dedup_runs`` takes every run of two lines as a chunk of its own: both ends
-are lines of the run, and no repeated passage of two lines or more stays, wherever it stands.
+Every line that is not empty is hashed. Under each of several boundary hashes, a line's own hash
+decides whether a chunk starts there, and a rolling hash over two lines whether one ends there: a
+chunk goes from a starting line to the next ending one, so both ends are decided by lines inside
+it, whatever was put before or after. The chunks under all boundary hashes are united: a run of two
+lines that is no chunk under one hash is very likely one under another (0.984 of them are under
+some). Chunks that stand more than once, compared byte by byte, are removed everywhere but at
+their first place (smallest doc_id, then position).
+
+``dedup_runs`` takes every run of two lines instead: no boundary hash decides.
 """
 
 import hashlib
@@ -21,28 +22,35 @@ from pyspark.sql import types as T
 from vigilog.llm.common import checkpointed, query, table, whole_text, without
 from vigilog.llm.repeats import later, repeated
 
-FACTOR, MODULUS, ONE_IN = 31, 1 << 32, 3
+FACTOR, MODULUS = 31, 1 << 32
+BOUNDARIES = 5  # independent boundary hashes
+ONE_IN = 4      # lines that do not start (pairs that do not end) a chunk
+TOP = 1 << 20   # the upper twelve bits of a product decide
+# multipliers of (start, end) under each boundary hash: odd, below 2^30, so products stay below 2^62
+FACTORS = [tuple((0x9E3779B97F4A7C15 * (2 * n + 1) >> 24) % (1 << 30) | 1 for n in (k, k + BOUNDARIES)) for k in range(BOUNDARIES)]
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(start, end) of the chunks: a chunk ends after one line in ONE_IN, as the hashes fall."""
-    out, start, before = [], 0, 0
-    for i, line in enumerate(lines):
-        own = int.from_bytes(hashlib.md5(line.encode()).digest()[:4], "big")
-        rolled = (own + FACTOR * before) % MODULUS  # the hash before last has rolled out
-        if rolled % ONE_IN == 0:
-            out.append((start, i + 1))
-            start = i + 1
-        before = own
-    return out + [(start, len(lines))] if start < len(lines) else out
+    """(start, end) of the chunks under all boundary hashes: from a starting line to the next ending one."""
+    filled = [i for i, line in enumerate(lines) if line]
+    hashes = [int.from_bytes(hashlib.md5(lines[i].encode()).digest()[:4], "big") for i in filled]
+    out, ending = set(), [-1] * BOUNDARIES
+    for at in range(len(filled) - 1, -1, -1):
+        own = hashes[at]
+        rolled = (own + FACTOR * hashes[at - 1]) % MODULUS if at else None  # two lines: the one before has rolled out
+        for k, (start, end) in enumerate(FACTORS):
+            if ending[k] >= 0 and own * start % MODULUS // TOP % ONE_IN:
+                out.add((filled[at], ending[k] + 1))
+            if at and rolled * end % MODULUS // TOP % ONE_IN:
+                ending[k] = filled[at]
+    return sorted(out)
 
 
 def passages(text: str):
-    """(chunk number, body) of the chunks with two lines or more that are not empty."""
+    """(start, end, body) of the chunks."""
     lines = text.split("\n")
-    for number, (a, b) in enumerate(chunks(lines)):
-        if b - a > 1 and sum(map(bool, lines[a:b])) > 1:
-            yield number, "\n".join(lines[a:b])
+    for a, b in chunks(lines):
+        yield a, b, "\n".join(lines[a:b])
 
 
 def runs(lines: list[str]) -> list[tuple[int, int]]:
@@ -52,10 +60,10 @@ def runs(lines: list[str]) -> list[tuple[int, int]]:
 
 
 def pairs(text: str):
-    """(first line, body) of the runs."""
+    """(start, end, body) of the runs."""
     lines = text.split("\n")
     for a, b in runs(lines):
-        yield a, "\n".join(lines[a:b])
+        yield a, b, "\n".join(lines[a:b])
 
 
 def _digest(body: str) -> int:
@@ -66,7 +74,7 @@ def _places(parts):
     def places(batches):
         for batch in batches:
             rows = [(d, n, _digest(body)) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(),
-                                                            strict=True) for n, body in parts(text)]
+                                                            strict=True) for n, _, body in parts(text)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()), "place": pa.array([r[1] for r in rows], pa.int32()),
                 "digest": pa.array([r[2] for r in rows], pa.int64())})
@@ -81,7 +89,7 @@ def _bodies(parts):
             rows = []
             for d, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
                 wanted = {(p["place"], p["digest"]) for p in places}
-                rows += [(d, n, body) for n, body in parts(text) if (n, _digest(body)) in wanted]
+                rows += [(d, n, body) for n, _, body in parts(text) if (n, _digest(body)) in wanted]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()), "place": pa.array([r[1] for r in rows], pa.int32()),
                 "digest": pa.array([_digest(r[2]) for r in rows], pa.int64()),
@@ -94,8 +102,7 @@ _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines
                      T.StructField("removed", T.IntegerType())])
 
 
-def _cutter(spans, parts):
-    """``spans``: (place, start, end) of a text's parts."""
+def _cutter(parts):
     @F.arrow_udf(_CUT)
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
         out = []
@@ -103,9 +110,7 @@ def _cutter(spans, parts):
             lines = text.split("\n")
             gone = {(p["place"], p["digest"]) for p in later(own, "digest")}
             if gone:
-                bodies = dict(parts(text))
-                lost = {i for n, a, b in spans(lines) if n in bodies and (n, _digest(bodies[n])) in gone
-                        for i in range(a, b)}
+                lost = {i for a, b, body in parts(text) if (a, _digest(body)) in gone for i in range(a, b)}
                 kept = [line for i, line in enumerate(lines) if i not in lost]
                 out.append({"text": "\n".join(kept), "lines": len(lines), "removed": len(lost)})
             else:
@@ -115,22 +120,14 @@ def _cutter(spans, parts):
     return cut
 
 
-def _numbered_chunks(lines: list[str]):
-    return [(n, a, b) for n, (a, b) in enumerate(chunks(lines))]
-
-
-def _placed_runs(lines: list[str]):
-    return [(a, a, b) for a, b in runs(lines)]
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``; adds ``n_lines`` and ``n_removed``.
 
     Null texts become empty ones. Rows with a null id take no part and stay as they are. Rows that
     repeat an id stand for one document: equal ones keep and lose the same lines. Columns named
-    like the added ones are replaced.
+    like the added ones are replaced. The first place of every line stays.
     """
-    return _dedup(docs, _numbered_chunks, passages)
+    return _dedup(docs, passages)
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
@@ -138,10 +135,10 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
 
     The first place of every line stays.
     """
-    return _dedup(docs, _placed_runs, pairs)
+    return _dedup(docs, pairs)
 
 
-def _dedup(docs: DataFrame, spans, parts) -> DataFrame:
+def _dedup(docs: DataFrame, parts) -> DataFrame:
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     places = checkpointed(ids.mapInArrow(_places(parts), "doc_id bigint, place int, digest bigint"))
     maybe = repeated(places, ["digest"], ["digest"])
@@ -151,27 +148,30 @@ def _dedup(docs: DataFrame, spans, parts) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("places").alias("_places"))
     rest = without(docs, ["n_lines", "n_removed", "_cut", "_id", "_places"])
     cut = rest.join(gone, rest["doc_id"] == F.col("_id"), "left").withColumn(
-        "_cut", _cutter(spans, parts)(whole_text(), F.col("_places")))
+        "_cut", _cutter(parts)(whole_text(), F.col("_places")))
     return cut.select(*[F.col("_cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in rest.columns],
                       F.col("_cut.lines").alias("n_lines"), F.col("_cut.removed").alias("n_removed"))
 
 
+_HASHES = ", ".join(f"({k}, {start}, {end})" for k, (start, end) in enumerate(FACTORS))
+
+
 @query("op3_line_chunks", f"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l),
-hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines),
-rolled AS (SELECT doc_id, i, line,
-  (h + {FACTOR} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {MODULUS} % {ONE_IN} = 0 AS ends
-  FROM hashed),
-numbered AS (SELECT doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM rolled),
-bodies AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n,
-  sum((line <> '')::INT) AS filled FROM numbered GROUP BY ALL),
-gone AS (SELECT doc_id, chunk FROM (SELECT doc_id, chunk, row_number() OVER (
-  PARTITION BY body ORDER BY doc_id, chunk) AS k FROM bodies WHERE n > 1 AND filled > 1) WHERE k > 1)
-SELECT doc_id, count(*)::INT AS n_lines, sum((g.chunk IS NOT NULL)::INT)::INT AS n_removed,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.chunk IS NULL), '')) AS kept_sha256
-FROM numbered LEFT JOIN gone g USING (doc_id, chunk) GROUP BY doc_id""")
+hashed AS (SELECT doc_id, i, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines WHERE line <> ''),
+rolled AS (SELECT *, (h + {FACTOR} * lag(h) OVER (PARTITION BY doc_id ORDER BY i)) % {MODULUS} AS r FROM hashed),
+marked AS (SELECT doc_id, i, k, h * s % {MODULUS} // {TOP} % {ONE_IN} <> 0 AS starts,
+  coalesce(r * e % {MODULUS} // {TOP} % {ONE_IN} <> 0, false) AS ends FROM rolled, (VALUES {_HASHES}) t(k, s, e)),
+spans AS (SELECT DISTINCT doc_id, i, j FROM (SELECT *, min(CASE WHEN ends THEN i END) OVER (PARTITION BY doc_id, k
+  ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS j FROM marked) WHERE starts AND j IS NOT NULL),
+bodies AS (SELECT doc_id, i, j, list_aggregate(l[i:j], 'string_agg', chr(10)) AS body FROM spans JOIN l USING (doc_id)),
+later AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (
+  PARTITION BY body ORDER BY doc_id, i) AS k FROM bodies) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later)
+SELECT doc_id, count(*)::INT AS n_lines, count(g.i)::INT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id""")
 def op3_line_chunks(spark, sf):
     out = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
