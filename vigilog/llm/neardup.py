@@ -422,7 +422,7 @@ class _Search:
         met = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
         wanted = checkpointed(self.classes.join(met, "v").select("v", "high", "low", "least"))
         ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-        texts = self.docs.join(ids, "doc_id", "left_semi")
+        texts = self.docs.join(ids.hint("merge"), "doc_id", "left_semi")  # the same join at every size
         own = texts.mapInArrow(_hashed(self.size), "high bigint, low bigint, hashes binary")
         self.sets = checkpointed(own.join(wanted, ["high", "low"]).groupBy("v").agg(F.first("hashes").alias("hashes")))
 
