@@ -16,7 +16,7 @@ from vigilog.operators.dedup import dedup_gap, throttle
 from vigilog.operators.incidents import auto_incident, incident_members, merge_incident
 from vigilog.operators.normalize import source_key
 from vigilog.operators.sequence import match_sequences, step_matches, window_rows
-from vigilog.session import job_folder
+from vigilog.session import job_folder, with_position
 from vigilog.sources.catalog import CHAINS
 from vigilog.sources.events import (
     event_count, read_events, recent_events, retain_newest, search_events, store_rows, write_events,
@@ -246,10 +246,12 @@ def newest_alerts(spark, sf):
     return recent_alerts(alerts(spark, sf), 1000, 5, severity="medium").select("alert_id", "us")
 
 
-@query("t3_alerts_by_severity", alerted(f"""SELECT alert_id, severity, {RANK_SQL} AS rank, us FROM alerts"""))
+@query("t3_alerts_by_severity", alerted(f"""SELECT alert_id, severity, {RANK_SQL} AS rank, us, row_number() OVER (
+  ORDER BY {RANK_SQL} DESC, us DESC, alert_id) AS position FROM alerts"""))
 def worst_first(spark, sf):
-    """All alerts, most severe first; the order is tested beside the operator."""
-    return by_severity(alerts(spark, sf)).select("alert_id", "severity", severity_rank("severity").alias("rank"), "us")
+    """All alerts, most severe first, with their place in that order."""
+    return with_position(by_severity(alerts(spark, sf)).select(
+        "alert_id", "severity", severity_rank("severity").alias("rank"), "us"))
 
 
 @query("t7_auto_incident", alerted("""SELECT alert_id FROM alerts WHERE alert_type = 'correlation'
