@@ -14,7 +14,7 @@ from vigilog.operators.forest import (
 )
 from vigilog.values import ANOMALY_THRESHOLD, FEATURE_NAMES
 from workload.base import (
-    ev, events, hits, model, query, rule_signals, score_signals, scored, stage, table,
+    ev, events, hits, model, query, rule_signals, score_signals, scored, stage, table, wide,
 )
 
 FEATURES_SQL = """clock AS (SELECT *, us + tz_offset_min * 60000000::BIGINT AS lus,
@@ -216,8 +216,8 @@ def fixed_explanations(spark, sf):
     return rows.select("event_id", (F.col("p") + 1).alias("place"), "t.feature", F.round("t.deviation", 6).alias("deviation"))
 
 
-@query("a3_fixed_stats", walked(f"""SELECT count(*) AS events_scored, count(*) FILTER (score >= {ANOMALY_THRESHOLD}) AS anomalies_detected,
-  round(avg(score), 6)::DOUBLE AS avg_score, round(max(score), 6)::DOUBLE AS max_score FROM scores"""))
+@query("a3_fixed_stats", wide(walked(f"""SELECT count(*) AS events_scored, count(*) FILTER (score >= {ANOMALY_THRESHOLD}) AS anomalies_detected,
+  round(avg(score), 6)::DOUBLE AS avg_score, round(max(score), 6)::DOUBLE AS max_score FROM scores""")))
 def fixed_stats(spark, sf):
     stats_ = score_stats(fixed_scores(spark, sf))
     return stats_.select("events_scored", "anomalies_detected", *[F.round(c, 6).alias(c) for c in ("avg_score", "max_score")])
@@ -262,8 +262,8 @@ def score_alerts(spark, sf):
     return score_signals(spark, sf).select("event_id", "title", "severity", "fingerprint", "anomaly_score")
 
 
-@query("j10_exclude_false_positives", hits("""SELECT event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM hits
-  WHERE sha256('sigma:' || source_key || ':' || title)[1:16] < '4')"""))
+@query("j10_exclude_false_positives", wide(hits("""SELECT event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM hits
+  WHERE sha256('sigma:' || source_key || ':' || title)[1:16] < '4')""")))
 def kept(spark, sf):
     signals = rule_signals(spark, sf).select("event_id", "fingerprint")
     wrong = signals.where("fingerprint < '4'").select("fingerprint")

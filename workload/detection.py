@@ -24,7 +24,7 @@ from vigilog.sources.events import (
 from vigilog.sources.sinks import stix_bundles, write_alert_log
 from workload.base import (
     LOCK_SECONDS, LONG_CHAINS, RANK_SQL, alerted, alerts, chain_signals, ev, events, fired, fires,
-    hits, query, rule_signals, signalled, signals, stepped, table,
+    hits, query, rule_signals, signalled, signals, stepped, table, wide,
 )
 
 DAY_US = 86_400_000_000
@@ -217,14 +217,14 @@ def search(spark, sf):
     return search_events(events(spark, sf), "WEB-01").select("event_id")
 
 
-@query("f14_filter_alerts", alerted("""SELECT alert_id FROM alerts WHERE severity = 'high' AND alert_type = 'sigma'"""))
+@query("f14_filter_alerts", wide(alerted("""SELECT alert_id FROM alerts WHERE severity = 'high' AND alert_type = 'sigma'""")))
 def filtered(spark, sf):
     return filter_alerts(alerts(spark, sf), "high", "sigma").select("alert_id")
 
 
-@query("f16_select_alerts", alerted("""SELECT alert_id FROM alerts WHERE alert_id[1:2] IN (
+@query("f16_select_alerts", wide(alerted("""SELECT alert_id FROM alerts WHERE alert_id[1:2] IN (
   SELECT fingerprint[1:2] FROM alerts WHERE title LIKE 'Port Scan%' AND us % 7 = 0)
-  OR fingerprint IN (SELECT fingerprint FROM alerts WHERE alert_type = 'correlation')"""))
+  OR fingerprint IN (SELECT fingerprint FROM alerts WHERE alert_type = 'correlation')""")))
 def selected(spark, sf):
     rows = alerts(spark, sf)
     wanted = rows.where("title like 'Port Scan%' and us % 7 = 0").select(
@@ -339,8 +339,8 @@ def score_severity(spark, sf):
         ml_severity(F.col("l_discount") * 10).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x6_confidence", signalled("""SELECT CASE severity WHEN 'critical' THEN 95 WHEN 'high' THEN 80 WHEN 'medium' THEN 60
-  WHEN 'low' THEN 40 WHEN 'informational' THEN 20 ELSE 50 END AS confidence, count(*) AS n FROM signals GROUP BY ALL"""))
+@query("x6_confidence", wide(signalled("""SELECT CASE severity WHEN 'critical' THEN 95 WHEN 'high' THEN 80 WHEN 'medium' THEN 60
+  WHEN 'low' THEN 40 WHEN 'informational' THEN 20 ELSE 50 END AS confidence, count(*) AS n FROM signals GROUP BY ALL""")))
 def confidence(spark, sf):
     return signals(spark, sf).groupBy(stix_confidence(F.col("severity")).alias("confidence")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -362,8 +362,8 @@ def patterns(spark, sf):
         stix_pattern(F.col("alert_type"), F.col("source_key")).alias("pattern")).distinct()
 
 
-@query("x20_event_json", ev("""SELECT event_id, CAST(json_extract(j, '$.source_ip') AS VARCHAR) AS ip FROM (
-  SELECT event_id, json_object('source_ip', source_ip) AS j FROM ev)"""))
+@query("x20_event_json", wide(ev("""SELECT event_id, CASE WHEN source_ip IS NOT NULL THEN CAST(json_extract(j, '$.source_ip') AS VARCHAR) END AS ip FROM (
+  SELECT event_id, source_ip, json_object('source_ip', source_ip) AS j FROM ev)""")))
 def as_json(spark, sf):
     rows = store_rows(events(spark, sf))
     return rows.select("event_id", F.concat(F.lit('"'), F.get_json_object("payload", "$.source_ip"),
@@ -385,10 +385,10 @@ def rate(spark, sf):
     return reports.events_per_second(events(spark, sf), F.col("us"))
 
 
-@query("a4_alert_stats", alerted(f"""SELECT s.alert_type, coalesce(a.n, 0) AS alerts, coalesce(a.d, 0) AS deduped,
+@query("a4_alert_stats", wide(alerted(f"""SELECT s.alert_type, coalesce(a.n, 0) AS alerts, coalesce(a.d, 0) AS deduped,
   s.low AS suppressed FROM (SELECT alert_type, count(*) FILTER (WHERE {RANK_SQL} < 2) AS low FROM signals
   GROUP BY alert_type) s LEFT JOIN (SELECT alert_type, count(*) AS n, CAST(sum(hit_count - 1) AS BIGINT) AS d
-  FROM alerts GROUP BY alert_type) a USING (alert_type)"""))
+  FROM alerts GROUP BY alert_type) a USING (alert_type)""")))
 def by_type(spark, sf):
     return reports.alert_stats(signals(spark, sf), alerts(spark, sf))
 

@@ -9,7 +9,7 @@ from vigilog.operators import incidents as I
 from vigilog.operators.enrich import enrich_as_of, enrich_by_network, enrich_ips
 from vigilog.operators.reports import source_map
 from vigilog.values import ABUSE_CATEGORIES
-from workload.base import SOURCE_IP, alerted, alerts, ev, events, query, stage, table
+from workload.base import SOURCE_IP, VALID_SQL, alerted, alerts, ev, events, query, stage, table, wide
 
 PLACE_SQL = """places AS (SELECT (CASE WHEN c_custkey % 3 = 0 THEN '203.' ELSE '10.' END) || (c_custkey // 250)
   || (CASE WHEN c_custkey % 3 = 0 THEN '.113.' ELSE '.0.' END) || (c_custkey % 250) AS ip,
@@ -35,9 +35,11 @@ RISK_SQL = f"""CASE WHEN {PRIVATE_SQL} THEN 'internal' WHEN abuse_score IS NULL
   WHEN abuse_score >= 75 THEN 'high' WHEN abuse_score >= 25 THEN 'medium' ELSE 'low' END"""
 
 
-@query("j4_ip_enrichment", with_places(ev(f"""SELECT ip, {PRIVATE_SQL} AS is_private, {RISK_SQL} AS risk_level,
-  CASE WHEN NOT {PRIVATE_SQL} THEN latitude END AS latitude, CASE WHEN NOT {PRIVATE_SQL} AND longitude IS NULL
-  THEN 'No enrichment data' END AS error FROM (SELECT DISTINCT source_ip AS ip FROM ev) LEFT JOIN places USING (ip)""")))
+@query("j4_ip_enrichment", wide(with_places(ev(f"""SELECT a.ip, private AS is_private,
+  {RISK_SQL.replace(PRIVATE_SQL, 'private')} AS risk_level, CASE WHEN NOT private THEN latitude END AS latitude,
+  CASE WHEN NOT valid THEN 'Invalid IP address' WHEN NOT private AND longitude IS NULL THEN 'No enrichment data' END AS error
+  FROM (SELECT ip, valid, valid AND {PRIVATE_SQL} AS private FROM (SELECT DISTINCT source_ip AS ip,
+    {VALID_SQL.format(ip='source_ip')} AS valid FROM ev WHERE source_ip IS NOT NULL)) a LEFT JOIN places p ON valid AND p.ip = a.ip"""))))
 def enriched(spark, sf):
     return enrich_ips(events(spark, sf), places(spark, sf), "source_ip").select(
         "ip", "is_private", "risk_level", F.col("latitude").cast("int").alias("latitude"), "error")
@@ -47,7 +49,9 @@ def enriched(spark, sf):
     CASE WHEN s_suppkey % 10 = 0 THEN 65535 ELSE 4 END AS width FROM supplier),
   ips AS (SELECT DISTINCT (CASE WHEN user_id % 3 = 0 THEN '203.' ELSE '10.' END) || (user_id // 250) || (CASE WHEN user_id % 3 = 0
     THEN '.113.' ELSE '.0.' END) || (user_id % 250) AS ip, CASE WHEN user_id % 3 = 0 THEN 3405774848 + (user_id // 250) * 65536
-    + 113 * 256 + user_id % 250 ELSE 167772160 + (user_id // 250) * 65536 + user_id % 250 END AS n FROM events)
+    + 113 * 256 + user_id % 250 ELSE 167772160 + (user_id // 250) * 65536 + user_id % 250 END AS n FROM events WHERE user_id < 64000
+    UNION SELECT DISTINCT (CASE WHEN user_id % 3 = 0 THEN '203.' ELSE '10.' END) || (user_id // 250) || (CASE WHEN user_id % 3 = 0
+    THEN '.113.' ELSE '.0.' END) || (user_id % 250), NULL FROM events WHERE user_id >= 64000 AND event_id % 5 = 2)
   SELECT ip, arg_min(lo, width * 10000000000 + lo) AS ip_lo, arg_min(lo + width, width * 10000000000 + lo) AS ip_hi
   FROM ips LEFT JOIN nets ON n BETWEEN lo AND lo + width GROUP BY ip""")
 def networks(spark, sf):
@@ -77,17 +81,17 @@ def lookups(spark, sf):
         F.col("event_id").alias("lookup_id"))
 
 
-@query("j6_fresh_enrichment", ev("""SELECT e.event_id, arg_max(v.event_id, v.us) AS lookup_id FROM ev e LEFT JOIN ev v
+@query("j6_fresh_enrichment", wide(ev("""SELECT e.event_id, arg_max(v.event_id, v.us) AS lookup_id FROM ev e LEFT JOIN ev v
   ON v.ty = 'view' AND v.source_ip = e.source_ip AND v.us <= e.us AND e.us - v.us < 36000000000
-  WHERE e.ty = 'error' GROUP BY e.event_id"""))
+  WHERE e.ty = 'error' GROUP BY e.event_id""")))
 def fresh(spark, sf):
     asked = events(spark, sf).where("message like 'Failed%'").select("event_id", "source_ip", "us")
     return enrich_as_of(asked, lookups(spark, sf), "source_ip", "us", 36000).select(
         "event_id", "lookup_id")
 
 
-@query("j7_distinct_ips", ev("""SELECT count(DISTINCT source_ip) AS ips, CAST(count(DISTINCT CASE WHEN starts_with(source_ip, '10.')
-  THEN source_ip END) AS BIGINT) AS private_ips FROM ev"""))
+@query("j7_distinct_ips", wide(ev(f"""SELECT count(DISTINCT source_ip) AS ips, CAST(count(DISTINCT CASE WHEN starts_with(source_ip, '10.')
+  AND {VALID_SQL.format(ip='source_ip')} THEN source_ip END) AS BIGINT) AS private_ips FROM ev""")))
 def distinct_ips(spark, sf):
     return enrich_ips(events(spark, sf), places(spark, sf), "source_ip").agg(
         F.count(F.lit(1)).alias("ips"), F.count_if("is_private").alias("private_ips"))
@@ -174,14 +178,14 @@ def edges(spark, sf):
 HOME = "ip:203.0.113.3"
 
 
-@query("g1_nodes", graphed("""SELECT n.id, CASE n.kind WHEN 'ip' THEN 'source_ip' ELSE n.kind END AS type,
+@query("g1_nodes", wide(graphed("""SELECT n.id, CASE n.kind WHEN 'ip' THEN 'source_ip' ELSE n.kind END AS type,
   coalesce(c.n, 0) AS alert_count, a.severity FROM nodes n LEFT JOIN (SELECT 'ip:' || source_key AS id, count(*) AS n FROM alerts
-  GROUP BY source_key) c USING (id) LEFT JOIN (SELECT 'alert:' || alert_id AS id, severity FROM alerts) a USING (id)"""))
+  GROUP BY source_key) c USING (id) LEFT JOIN (SELECT 'alert:' || alert_id AS id, severity FROM alerts) a USING (id)""")))
 def all_nodes(spark, sf):
     return nodes(spark, sf).select("id", "type", "alert_count", "severity")
 
 
-@query("g2_edges", graphed("SELECT source, target, relation FROM edges"))
+@query("g2_edges", wide(graphed("SELECT source, target, relation FROM edges")))
 def all_edges(spark, sf):
     return edges(spark, sf)
 
@@ -209,8 +213,8 @@ def hops(spark, sf):
     return G.subgraph(nodes(spark, sf), edges(spark, sf), HOME, 2)[1]
 
 
-@query("g5_component", graphed(f""", walk_ AS (SELECT '{HOME}' AS id UNION SELECT there FROM walk_ JOIN links ON here = walk_.id
-  WHERE there NOT LIKE 'ip:%') SELECT id FROM walk_""").replace("\n, walk_", ",\nwalk_"))
+@query("g5_component", wide(graphed(f""", walk_ AS (SELECT '{HOME}' AS id UNION SELECT there FROM walk_ JOIN links ON here = walk_.id
+  WHERE there NOT LIKE 'ip:%') SELECT id FROM walk_""").replace("\n, walk_", ",\nwalk_")))
 def component(spark, sf):
     return G.component_of(nodes(spark, sf), edges(spark, sf), HOME)[0].select("id")
 
