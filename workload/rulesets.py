@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vigilog.operators import quality as Q
+from vigilog.session import with_position
 from vigilog.sources.catalog import chains_table, techniques_table
 from vigilog.sources.rules import parse_rule_documents, rule_matchers, rules_changed
 from vigilog.values import TECHNIQUES
@@ -212,24 +213,15 @@ def quality_summary(spark, sf):
 
 @query("t4_rules_by_quality", sql("""SELECT rule_id, maintenance_score, row_number() OVER (ORDER BY maintenance_score, rule_id) AS position FROM quality"""))
 def sorted_quality(spark, sf):
-    from pyspark.sql.window import Window
-
-    # the position follows the order that the operator left; a rule table is small
-    ordered = Q.sort_quality(quality(spark, sf)).select(
-        "rule_id", "maintenance_score", F.monotonically_increasing_id().alias("_at"))
-    return ordered.withColumn("position", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+    return with_position(Q.sort_quality(quality(spark, sf)).select("rule_id", "maintenance_score"))
 
 
 @query("j8_overlapping_sets", sql("""SELECT least(sa, sb) AS set_a, greatest(sa, sb) AS set_b,
   round(jaccard, 6) AS jaccard FROM alike WHERE sa < sb"""))
 def overlap(spark, sf):
-    sets = Q.keyword_sets(matchers(spark, sf))
-    text = sets.select("set_id", F.array_join("tokens", "|").alias("t")).dropDuplicates(["set_id"])
-    pairs = Q.overlapping_sets(sets)
-    named = pairs.join(text.select(F.col("set_id").alias("set_a"), F.col("t").alias("_a")), "set_a").join(
-        text.select(F.col("set_id").alias("set_b"), F.col("t").alias("_b")), "set_b")
-    return named.select(F.least("_a", "_b").alias("set_a"), F.greatest("_a", "_b").alias("set_b"),
-                        F.round("jaccard", 6).alias("jaccard"))
+    sets = Q.keyword_sets(matchers(spark, sf)).withColumn("t", F.array_join("tokens", "|"))
+    return Q.overlapping_sets(sets, keep=("t",)).select(
+        F.least("t_a", "t_b").alias("set_a"), F.greatest("t_a", "t_b").alias("set_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("j8_rule_overlap_counts", sql('SELECT rule_id, "overlaps" FROM overs'))
