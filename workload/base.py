@@ -14,7 +14,7 @@ from vigilog.operators.normalize import normalize, source_key
 from vigilog.operators.parse import parse_logs
 from vigilog.operators.rules import enrich_with_matches
 from vigilog.operators.sequence import chain_steps, match_sequences
-from vigilog.session import checkpointed, configure
+from vigilog.session import checkpointed, configure, dealt
 from vigilog.sources.catalog import CHAINS, RULES
 
 QUERIES: dict = {}
@@ -64,7 +64,7 @@ SOURCE_IP = (
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(event_id, raw, source_host, ingested_at): one line per event, five formats in turn."""
-    e = table(spark, sf, "events").selectExpr(
+    e = dealt(table(spark, sf, "events"), "event_id").selectExpr(
         "event_id", "user_id", "event_type", "cast(ts as timestamp) as ts",
         f"{SOURCE_IP} as src", "get_json_object(props, '$.k') as k", "22 + event_id % 1000 as port",
         "(event_id * 7) % 192 as pri", "1000 + event_id % 5000 as pid",
