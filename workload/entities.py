@@ -213,7 +213,7 @@ def hops(spark, sf):
     return G.subgraph(nodes(spark, sf), edges(spark, sf), HOME, 2)[1]
 
 
-@query("g5_component", wide(graphed(f""", walk_ AS (SELECT '{HOME}' AS id UNION SELECT there FROM walk_ JOIN links ON here = walk_.id
+@query("g5_component", wide(graphed(f""", walk_ AS (SELECT id FROM nodes WHERE id = '{HOME}' UNION SELECT there FROM walk_ JOIN links ON here = walk_.id
   WHERE there NOT LIKE 'ip:%') SELECT id FROM walk_""").replace("\n, walk_", ",\nwalk_")))
 def component(spark, sf):
     return G.component_of(nodes(spark, sf), edges(spark, sf), HOME)[0].select("id")
