@@ -153,12 +153,9 @@ class AlertProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         held = {s[0]: tuple(s) for s in self.slots.get()} if self.slots.exists() else {}
-        for part in rows:
-            part = part.assign(slot=part["us"] // self.gap).sort_values(["us", "event_id"])
-            sizes = part.groupby("slot")["us"].agg(["size", "min", "max"])
-            firsts = part.drop_duplicates("slot").set_index("slot")
-            for slot, n, lo, hi in sizes.itertuples():
-                own = (int(slot), int(n), int(lo), int(hi), firsts.at[slot, "event_id"], firsts.at[slot, "row"])
+        for part in rows:  # most keys have a few rows: frames of their own would cost more than the rows
+            for us, event_id, row in zip(part["us"].tolist(), part["event_id"], part["row"]):
+                own = (us // self.gap, 1, us, us, event_id, row)
                 other = held.get(own[0])
                 held[own[0]] = own if other is None else _merged(own, other)
         self.slots.put(sorted(held.values()))

@@ -36,6 +36,20 @@ def as_stream(df):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+ROWS_PER_FILE = 25_000
+
+
+def write_micro_batches(df, parts, path):
+    """Writes the rows of each condition of ``parts`` as one micro-batch and returns the files of each,
+    as many for all: so many that the smallest has ``ROWS_PER_FILE`` rows a file, and one at least."""
+    counts = df.agg(*[F.count_if(part) for part in parts]).first()
+    files = max(1, min(counts) // ROWS_PER_FILE)
+    for part in parts:  # files are read in the order in which they were written
+        rows = df.where(part)
+        (rows.repartition(files, "event_id") if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    return files
+
+
 MICRO_BATCHES = 4
 LATE_HOURS = 20  # rows arrive up to so much later than they happened
 
@@ -48,14 +62,13 @@ def arriving(df, key, after):
     rows = checkpointed(df.withColumn("_arrival", F.col("us") + delay))
     ends = rows.agg(F.min("_arrival"), F.max("_arrival"), F.max("us")).first()
     width = (ends[1] - ends[0]) // MICRO_BATCHES + 1
-    for k in range(MICRO_BATCHES):  # files are read in the order in which they were written
-        low = ends[0] + k * width
-        rows.where(F.col("_arrival").between(low, low + width - 1)).drop("_arrival").coalesce(1).write.mode("append").parquet(path)
+    lows = [ends[0] + k * width for k in range(MICRO_BATCHES)]
+    files = write_micro_batches(rows, [F.col("_arrival").between(low, low + width - 1) for low in lows], path)
     end = ends[2] + (LATE_HOURS * 3600 + 86400 + after) * 1_000_000
     rows.drop("_arrival").limit(1).withColumns({
         key: F.lit("end"), "us": F.lit(end), "timestamp": F.timestamp_micros(F.lit(end)), "event_id": F.lit("end")}).write.mode(
         "append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("timestamp", "1 day")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path).withWatermark("timestamp", "1 day")
 
 
 def line_stream(spark, sf):
@@ -148,8 +161,7 @@ def refresh(spark, sf):
                 f"  k: ['{word}']\n  condition: k")
 
     plain = events(spark, sf).withColumn("sigma_matches", F.array().cast("array<string>"))
-    for k in range(3):  # files are read in the order in which they were written
-        plain.where(F.col("event_id").cast("bigint") % 3 == k).coalesce(1).write.mode("append").parquet(path)
+    files = write_micro_batches(plain, [F.col("event_id").cast("bigint") % 3 == k for k in range(3)], path)
     offer(rule("port scan"), "overwrite")
     watched = RuleFolder(spark, rules, "*.txt")  # as the text writer names its files
     match = watched.each_batch(lambda df, batch: df.select(F.explode("sigma_matches").alias("title"), F.lit(batch).alias("batch")).write.mode(
@@ -162,7 +174,7 @@ def refresh(spark, sf):
             offer("title: [", "append")
         match(df, batch)
 
-    spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.trigger(
+    spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", files).parquet(path).writeStream.trigger(
         availableNow=True).option("checkpointLocation", out + "/state").foreachBatch(run).start().awaitTermination()
     return spark.read.parquet(out + "/data").groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
