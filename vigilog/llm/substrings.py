@@ -35,6 +35,7 @@ KEYS = ["id", "high", "low"]  # a row is known by its id and a digest of its tex
 
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
+_BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)  # a difference below the k-th: 8 - k bytes are equal
 _KIND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -130,17 +131,24 @@ def _bodies(length: int):
     return bodies
 
 
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros behind the end."""
+    padded = np.concatenate([text, np.zeros(7, np.uint8)])
+    key = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        key <<= np.uint64(8)
+        key |= padded[i:i + len(text)]
+    return key
+
+
 def suffix_ranks(text: np.ndarray) -> np.ndarray:
     """The rank of the suffix at each position: the inverse of the suffix array."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)  # ends are told apart later
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i:i + n]
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = _eights(text)  # ends are told apart later
+    order = np.argsort(key).astype(np.int32)
     ranks = np.empty(n, np.int32)
     ranks[order] = _group_starts(key[order])
-    del key, padded
+    del key
     reach = 8
     open_ = order
     while len(open_):
@@ -151,11 +159,12 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
             break
         ahead = open_ + reach
         later = np.where(ahead < n, ranks[np.minimum(ahead, n - 1)] + 1, n - ahead)  # past the end: the shorter first
-        before = ranks[open_]
-        turn = np.lexsort((later, before))
-        open_, later, before = open_[turn], later[turn], before[turn]
+        both = (ranks[open_].astype(np.int64) << 32) | (later + reach)  # above 0; equal ones in any order: one rank
+        turn = np.argsort(both)
+        open_, both = open_[turn], both[turn]
+        before = (both >> 32).astype(np.int32)
         first = np.concatenate([[True], (before[1:] != before[:-1])])
-        new = first | np.concatenate([[True], later[1:] != later[:-1]])
+        new = np.concatenate([[True], both[1:] != both[:-1]])
         at = np.arange(len(open_), dtype=np.int32)
         group = at[first][np.cumsum(first) - 1]
         ranks[open_] = before + at[new][np.cumsum(new) - 1] - group
@@ -176,6 +185,7 @@ def common_prefixes(text: np.ndarray, before: np.ndarray, starts: np.ndarray, wi
     window shares, less one byte, the next window shares too, if the other one is followed by a
     window as well.
     """
+    eights = _eights(text)
     last = np.zeros(len(text), bool)
     last[starts + windows - 1] = True
     out = np.zeros(len(text), np.int32)
@@ -190,10 +200,9 @@ def common_prefixes(text: np.ndarray, before: np.ndarray, starts: np.ndarray, wi
         todo = np.flatnonzero(other >= 0)
         while len(todo):
             at = shared[todo]
-            todo = todo[at < limit]
-            at = shared[todo]
-            todo = todo[text[here[todo] + at] == text[other[todo] + at]]
-            shared[todo] += 1
+            apart = eights[here[todo] + at] ^ eights[other[todo] + at]
+            shared[todo] = at = np.minimum(at + 8 - np.searchsorted(_BYTES, apart, "right"), limit)
+            todo = todo[(apart == 0) & (at < limit)]
         carried[live] = np.where(last[other], 0, shared)
         out[here] = shared
     return out
