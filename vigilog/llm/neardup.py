@@ -39,6 +39,7 @@ TOGETHER = 32       # documents of a node up to which the nodes of a batch are c
 HELD = 1 << 13      # rows of small nodes that a task looks at at a time
 BLOCK_SHINGLES = 1 << 21  # of a block of a cluster; a cluster of up to two is compared in one task
 PAIRWISE = 8        # members of a cluster that a document is compared with one by one
+MARKS = 1 << 23     # bits that stand for the ids of wanted texts; 64 of them are a broadcast row
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -376,6 +377,17 @@ def _linked(percent: int):
     return linked
 
 
+def marked_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be among ``ids``: all that are, and few others, so that the
+    other texts need no shuffle. A bit for each hash of an id is sent to all tasks, MARKS at most."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    slot, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    marks = ids.select(slot.alias("_slot"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("_mark")
+                       ).groupBy("_slot").agg(F.bit_or("_mark").alias("_marks"))
+    return docs.withColumn("_slot", slot).join(F.broadcast(marks), "_slot").where(
+        F.getbit("_marks", bit) == 1).select(*docs.columns)
+
+
 class _Search:
     """The state of one join: vertices, and the components found so far."""
 
@@ -422,7 +434,8 @@ class _Search:
         met = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
         wanted = checkpointed(self.classes.join(met, "v").select("v", "high", "low", "least"))
         ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-        texts = self.docs.join(ids.hint("merge"), "doc_id", "left_semi")  # the same join at every size
+        # the same join at every size; a semi-join would be moved below the marks, and all texts shuffled
+        texts = marked_texts(self.docs, ids).join(ids.hint("merge"), "doc_id")
         own = texts.mapInArrow(_hashed(self.size), "high bigint, low bigint, hashes binary")
         self.sets = checkpointed(own.join(wanted, ["high", "low"]).groupBy("v").agg(F.first("hashes").alias("hashes")))
 
