@@ -83,5 +83,5 @@ def top_features(baseline: list[float] | None = None, n: int = 5) -> Column:
         for i, name in enumerate(FEATURE_NAMES)
     ])
     return F.transform(
-        F.slice(F.array_sort(rows), 1, n),
+        F.slice(F.sort_array(rows), 1, n),
         lambda r: F.struct(r["feature"].alias("feature"), (-r["d"]).alias("deviation")))

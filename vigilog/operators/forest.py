@@ -86,15 +86,12 @@ def tree_samples(keys: DataFrame, key: str, n_rows: int, n_trees: int, seed: int
     span = float(2**63)
     share = min(1.0, 4.0 * sample / max(n_rows, 1))
     bound = int(-span + share * 2 * span) if share < 1 else 2**63 - 1
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda t: F.struct(t.alias("t"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("h")))
-    rows = keys.select(key, F.explode(F.filter(drawn, lambda d: d["h"] <= bound)).alias("_draw"))
+    # a row per tree instead of a lambda over the trees: lambdas are interpreted, this is compiled
+    draws = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
+    rows = draws.select("_tree", F.xxhash64(F.col(key), F.col("_tree"), F.lit(seed)).alias("_h"), key).where(
+        F.col("_h") <= bound)
     rank = F.row_number().over(Window.partitionBy("_tree").orderBy("_h", key))
-    return (
-        rows.select(F.col("_draw.t").alias("_tree"), F.col("_draw.h").alias("_h"), key)
-        .withColumn("_rank", rank).where(F.col("_rank") <= sample).drop("_h")
-    )
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= sample).drop("_h")
 
 
 SCORE_BINS = 1 << 16  # of the raw scores, which lie between -1 and 0
