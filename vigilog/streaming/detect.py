@@ -1,6 +1,6 @@
 """Detection on streams: the batch functions, and state per source and per fingerprint."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.operators.alerts import alerts_from_matches, merge_alerts, with_alert_id
@@ -14,7 +14,7 @@ from vigilog.sources.catalog import CHAINS, techniques_table
 from vigilog.sources.events import write_events
 from vigilog.sources.rules import file_snapshot, load_rule_set, read_rules, rule_matchers, rules_changed
 from vigilog.sources.sinks import write_alert_log, write_stix_bundles
-from vigilog.streaming.ordered import ALERT_SCHEMA, FIRE_SCHEMA, AlertProcessor, SequenceProcessor
+from vigilog.streaming.ordered import ALERT_SCHEMA, BUCKETS, FIRE_SCHEMA, AlertProcessor, SequenceProcessor
 from vigilog.values import DEDUP_SECONDS, WINDOW_CAP
 
 LATE = "10 minutes"
@@ -35,6 +35,10 @@ def stream_events(lines: DataFrame, rules: list[dict], late: str = LATE, once: b
     return events.dropDuplicatesWithinWatermark(["event_id"]) if once else events
 
 
+def bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+
 # -- sequences -------------------------------------------------------------------------------
 
 def stream_sequences(events: DataFrame, chains=CHAINS, cap: int = WINDOW_CAP,
@@ -52,8 +56,9 @@ def stream_sequences(events: DataFrame, chains=CHAINS, cap: int = WINDOW_CAP,
         for bit, step in enumerate(steps):  # bits of one chain: its own number of steps is the limit
             mask = mask + F.when(step, F.lit(1 << bit).cast("bigint")).otherwise(0)
         masks.append(mask)
-    rows = events.select("source_key", "us", "event_id", "timestamp", F.array(*masks).alias("masks"))
-    return rows.groupBy("source_key").transformWithStateInPandas(
+    rows = events.select(bucket("source_key"), "source_key", "us", "event_id", "timestamp", *[
+        m.alias(f"m{c}") for c, m in enumerate(masks)])
+    return rows.groupBy("bucket").transformWithStateInPandas(
         SequenceProcessor(spec, cap, int(lock_seconds * 1_000_000)), FIRE_SCHEMA, "append", "eventTime")
 
 
@@ -70,9 +75,9 @@ def stream_alerts(signals: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame
     with the final figures, when the watermark has passed its last hit by ``seconds``. Needs
     ``fingerprint``, ``us``, ``event_id`` and a watermark on ``timestamp``.
     """
-    rows = signals.select("fingerprint", "us", "event_id", "timestamp",
+    rows = signals.select(bucket("fingerprint"), "fingerprint", "us", "event_id", "timestamp",
                           F.to_json(F.struct(*signals.columns), EXACT_TIMES).alias("row"))
-    merged = rows.groupBy("fingerprint").transformWithStateInPandas(
+    merged = rows.groupBy("bucket").transformWithStateInPandas(
         AlertProcessor(seconds * 1_000_000), ALERT_SCHEMA, "append", "eventTime")
     return merged.withColumn("row", F.from_json("row", signals.schema, EXACT_TIMES)).select(
         "row.*", "status", "hit_count", "first_us", "last_us")
