@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vigilog.session import checkpointed, shared_folder
+from vigilog.session import shared_folder
 from vigilog.sources.catalog import RULES
 from vigilog.sources.lines import stream_logs
 from vigilog.streaming.detect import (
@@ -55,11 +55,11 @@ LATE_HOURS = 20  # rows arrive up to so much later than they happened
 
 
 def arriving(df, key, after):
-    """All rows as a stream of several micro-batches, many of them late and out of order; a last row
-    of another ``key``, ``after`` seconds past the others, moves the watermark past all of them."""
+    """All rows of a written table as a stream of several micro-batches, many of them late and out of order; a
+    last row of another ``key``, ``after`` seconds past the others, moves the watermark past all of them."""
     spark, path = df.sparkSession, folder(df.sparkSession)
     delay = F.pmod(F.xxhash64("event_id"), F.lit(LATE_HOURS * 3600)) * 1_000_000
-    rows = checkpointed(df.withColumn("_arrival", F.col("us") + delay))
+    rows = df.withColumn("_arrival", F.col("us") + delay)
     ends = rows.agg(F.min("_arrival"), F.max("_arrival"), F.max("us")).first()
     width = (ends[1] - ends[0]) // MICRO_BATCHES + 1
     lows = [ends[0] + k * width for k in range(MICRO_BATCHES)]
