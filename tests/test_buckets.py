@@ -5,9 +5,10 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from test_stream import streamed
-from vigilog.streaming.detect import stream_alerts
-from vigilog.streaming.ordered import BUCKETS, ChainFold, fold_chains, fold_slots, merged_slots
+from test_stream import events, streamed
+from vigilog.plans.detect import find_chains
+from vigilog.streaming.detect import stream_alerts, stream_sequences
+from vigilog.streaming.ordered import BUCKETS, AlertProcessor, ChainFold, fold_chains, fold_slots, merged_slots
 
 ROW = {"source_key": pa.string(), "us": pa.int64(), "event_id": pa.string()}
 FIRED = pa.schema([("source_key", pa.string()), ("chain", pa.int64()), ("us", pa.int64())])
@@ -27,8 +28,8 @@ def test_fires_equal_those_row_by_row():
     schema = pa.schema([*ROW.items(), *[(f"m{c}", pa.int64()) for c in range(3)]])
     for cap, lock, span in ((500, 40, 3000), (6, 25, 400), (500, 0, 300), (3, 10**6, 900)):
         spec = [("one", 50, 1), ("two", 30, 2), ("four", 200, 4)]
-        rows = [(rng.choice(["a", "b", "c", None]), rng.randrange(span), f"{i:04d}", rng.randrange(2), rng.randrange(4), rng.choice([0, 1, 2, 4, 8, 6]))
-                for i in range(700)]
+        rows = [(rng.choice(["a", "b", "c", None]), rng.randrange(span), f"{i:04d}", rng.randrange(2), rng.randrange(4),
+                 rng.choice([0, 1, 2, 4, 8, 6])) for i in range(700)]
         past, fired, got = schema.empty_table(), FIRED.empty_table(), []
         for low in range(0, span, span // 7):
             part = [r for r in rows if low <= r[1] < low + span // 7]
@@ -41,12 +42,26 @@ def test_fires_equal_those_row_by_row():
         assert len(got) == len(want) > 5 and set(got) == set(want)
 
 
+def test_a_lockout_is_remembered_where_no_row_is_left(spark, tmp_path):
+    schema = pa.schema([*ROW.items(), ("m0", pa.int64())])
+    fired = pa.table({"source_key": ["a", None], "chain": [0, 0], "us": [5, 6]}, schema=FIRED)
+    for held in (fired, FIRED.empty_table()):
+        past, kept, fires = fold_chains([("one", 50, 1)], 500, 10, schema.empty_table(), schema.empty_table(), held)
+        assert not past.num_rows and kept.sort_by("us") == held and not len(fires)
+    chain = {"id": "c", "title": "c", "window_seconds": 10, "steps": [("one", ["Failed password"])]}
+    df = events(spark).where("source_key = '10.0.0.1' and event_id < 450").withColumn("event_id", F.when(
+        F.col("event_id") < 225, F.col("event_id")).otherwise(F.format_string("%05d", F.col("event_id").cast("int") + 225)))
+    got = streamed(spark, df, tmp_path, lambda s: stream_sequences(s, [chain], lock_seconds=700)).collect()
+    want = find_chains(df, [chain], lock_seconds=700).collect()
+    assert {(r.us, r.event_id) for r in got} == {(r.us, r.event_id) for r in want} and len(got) == len(want) > 3
+
+
 def test_slots_fold_as_hits_would():
     rng = random.Random(3)
     hits = [(rng.choice(["a", "b", None]), rng.randrange(3000), f"{i:04d}") for i in range(500)]
-    names = {"fingerprint": pa.string(), "slot": pa.int64(), "n": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "event_id": pa.string(), "row": pa.string()}
+    names = AlertProcessor(1).tables["slots"]
     for gap in (3, 10, 40):
-        now = pa.schema([("fingerprint", pa.string()), ("hit_count", pa.int64()), ("first_us", pa.int64()), ("last_us", pa.int64()), ("row", pa.string())]).empty_table()
+        now = pa.schema(AlertProcessor(1).tables["open"].items()).empty_table()
         waiting, first, closed = pa.schema(names.items()).empty_table(), [], []
         for low in range(0, 4000, 500):
             fresh = [dict(zip(names, (k, us // gap, 1, us, us, e, e))) for k, us, e in hits if low <= us < low + 500]

@@ -91,8 +91,9 @@ FIRE_SCHEMA = ("chain_id string, source_key string, us bigint, event_id string,
 
 
 class ChainFold:
-    """What one source has to remember of its past: of each chain the latest start of each of its
-    prefixes, the row number, and the newest rows (for the evidence of a fire).
+    """The plain version of ``fold_chains``, which tests hold to it: what one source has to remember of its
+    past is of each chain the latest start of each of its prefixes, the row number, and the newest rows (for
+    the evidence of a fire).
 
     ``spec`` is (chain id, window in microseconds, number of steps); a row's mask of a chain has a
     bit for each step that it is. A row costs the same however long the windows are.
@@ -198,8 +199,9 @@ def fold_chains(spec: list[tuple], cap: int, lock: int, past: pa.Table, fresh: p
         found.append(pd.DataFrame({
             "chain_id": chain_id, "source_key": names.take(pa.array(source[picked])).to_numpy(zero_copy_only=False), "us": us[picked],
             "event_id": ids[picked], "first_us": us[low], "step_events": list(map(list, zip(*taken)))}))
-    end = np.append(np.flatnonzero(first)[1:], rows.num_rows)
-    newest = np.repeat(end, np.diff(np.append(np.flatnonzero(first), rows.num_rows))) - places <= cap
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    newest = np.repeat(starts + sizes, sizes) - places <= cap
     return rows.filter(pa.array(newest)), pa.concat_tables(kept), pd.concat(found, ignore_index=True)
 
 
